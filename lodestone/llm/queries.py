@@ -6,10 +6,26 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import pii, sharding, simhash_dedup
+from lodestone.llm import byte_bpe, language_id, packing, pii, sharding, simhash_dedup, substring_dedup
 from lodestone.llm.common import read_table
 
 
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(read_table(spark, sf_dir, "documents"))
+
+
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.dedup_query(read_table(spark, sf_dir, "documents"))
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.predict_languages(read_table(spark, sf_dir, "documents"))
+
+
+def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe.encode_documents(read_table(spark, sf_dir, "documents"))
+
+
 def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.dedup_query(read_table(spark, sf_dir, "documents"))
 
@@ -23,7 +39,7 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_simhash_dedup, op8_pii, op9_sharding)}
+    return {f.__name__: f for f in (op2_packing, op3_substring_dedup, op5_simhash_dedup, op6_language_id, op7_byte_bpe, op8_pii, op9_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
