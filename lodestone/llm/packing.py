@@ -17,6 +17,7 @@ from __future__ import annotations
 import json
 import re
 import zlib
+from bisect import bisect_left
 from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -125,7 +126,8 @@ def cheapest_cuts(places: list[int], penalties: list[int], window: int) -> list[
     """The cuts (positions) of the cheapest chain over ``places``; the first and last place are always in it.
 
     Neighbouring places are at most ``window`` apart. f(j) = penalty(j) + window - place(j) + min over places i
-    within the window of f(i) + place(i); the queue holds the i that can still be a minimum, best first.
+    within the window of f(i) + place(i); the queue holds the i that can still be a minimum, best first. The last
+    sequence is carried on or cut into powers of two, so its padding is not counted.
     """
     cost = [0] * len(places)
     before = [0] * len(places)
@@ -141,7 +143,10 @@ def cheapest_cuts(places: list[int], penalties: list[int], window: int) -> list[
         while queue and queue[-1][0] >= mine:
             queue.pop()
         queue.append((mine, j))
-    cuts, j = [], len(places) - 1
+    j = len(places) - 1
+    open_end = range(bisect_left(places, places[j] - window), j)
+    before[j] = min(open_end, key=cost.__getitem__, default=0)
+    cuts = []
     while j:
         cuts.append(places[j])
         j = before[j]

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import byte_bpe, language_id, packing, pii, sharding, simhash_dedup, substring_dedup
+from lodestone.llm import byte_bpe, fingerprints, language_id, packing, pii, sharding, simhash_dedup, substring_dedup
 from lodestone.llm.common import read_table
 
 
@@ -18,6 +18,10 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.dedup_query(read_table(spark, sf_dir, "documents"))
 
 
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint_query(read_table(spark, sf_dir, "documents"))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict_languages(read_table(spark, sf_dir, "documents"))
 
@@ -39,7 +43,7 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_packing, op3_substring_dedup, op5_simhash_dedup, op6_language_id, op7_byte_bpe, op8_pii, op9_sharding)}
+    return {f.__name__: f for f in (op2_packing, op3_substring_dedup, op4_fingerprints, op5_simhash_dedup, op6_language_id, op7_byte_bpe, op8_pii, op9_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
