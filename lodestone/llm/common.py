@@ -38,13 +38,12 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | N
     return df.mapInArrow(run, schema)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint in the folder named by ``spark.checkpoint.dir``.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named by ``spark.checkpoint.dir``.
 
     Where the setting is missing (local tests) a folder is chosen: a temporary one for a local master, else one
     below the warehouse, which all executors share.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -52,6 +51,12 @@ def cut(df: DataFrame) -> DataFrame:
             local = sc.master.startswith("local[") or sc.master == "local"
             folder = tempfile.mkdtemp(prefix="checkpoint-") if local else os.path.join(spark.conf.get("spark.sql.warehouse.dir"), "_checkpoints")
         sc.setCheckpointDir(folder)
+    return sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Cut lineage with a reliable checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

@@ -6,10 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import byte_bpe, fingerprints, language_id, packing, pii, sharding, simhash_dedup, substring_dedup
+from lodestone.llm import byte_bpe, fingerprints, html_text, language_id, packing, pii, sharding, simhash_dedup, substring_dedup, vptree
 from lodestone.llm.common import read_table
 
 
+def op1_vptree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vptree.nearest_query(read_table(spark, sf_dir, "embeddings"))
+
+
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_pages(read_table(spark, sf_dir, "pages"))
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read_table(spark, sf_dir, "documents"))
 
@@ -43,8 +51,21 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_packing, op3_substring_dedup, op4_fingerprints, op5_simhash_dedup, op6_language_id, op7_byte_bpe, op8_pii, op9_sharding)}
+    found = (
+        op1_vptree,
+        op2_packing,
+        op3_substring_dedup,
+        op4_fingerprints,
+        op5_simhash_dedup,
+        op6_language_id,
+        op7_byte_bpe,
+        op8_pii,
+        op9_sharding,
+        op10_html_text,
+    )
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
+    """None yet: these results hold checksums and hashes that SQL lacks; ``tests/llm`` has brute-force versions."""
     return {}
