@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.llm.common import bound_batches, cut, shuffle_width
+from lodestone.llm.common import bound_batches, cut, map_batches
 
 WINDOW, GRAM = 50, 12
 REMEMBERED = 300_000
@@ -137,32 +137,38 @@ def gather(condition: F.Column, *values: F.Column) -> F.Column:
 
 
 def parse_blocks(docs: DataFrame) -> DataFrame:
-    """(_id, _rest, _z: compressed text, _gram, _block1, _block2: arrays), partitioned by _id."""
+    """(_id, _gram, _block1, _block2: arrays) of the documents that take part."""
     bound_batches(docs.sparkSession)
-    rest = [c for c in docs.columns if c not in ("text",)]
+    source = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").alias("_text"))
+    names = ["_id", "_gram", "_block1", "_block2"]
+
+    def one(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = [Parsed(text.encode("utf-8", "surrogatepass").split()) for text in batch.column("_text").to_pylist()]
+        offsets = pa.array(np.concatenate([[0], np.cumsum([len(p.first) for p in found])]), pa.int32())
+        lists = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([getattr(p, k) for p in found] or [np.zeros(0, np.int64)]).astype(np.int64))) for k in ("gram", "block1", "block2")]
+        return pa.RecordBatch.from_arrays([batch.column("_id"), *lists], names=names)
+
+    return map_batches(source, one, "_id long, _gram array<long>, _block1 array<long>, _block2 array<long>")
+
+
+def compressed(docs: DataFrame) -> DataFrame:
+    """(_id, _rest, _z): the texts as they are shuffled."""
+    rest = [c for c in docs.columns if c != "text"]
     source = docs.select(F.col("doc_id").cast("long").alias("_id"), F.struct(*rest).alias("_rest"), F.col("text").cast("string").alias("_text"))
-    longs = T.ArrayType(T.LongType())
-    schema = T.StructType([source.schema["_id"], source.schema["_rest"], T.StructField("_z", T.BinaryType()), *(T.StructField(c, longs) for c in ("_gram", "_block1", "_block2"))])
+    schema = T.StructType([source.schema["_id"], source.schema["_rest"], T.StructField("_z", T.BinaryType())])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def one(batch: pa.RecordBatch) -> pa.RecordBatch:
         press = zstandard.ZstdCompressor(level=3)
-        for batch in batches:
-            z, found = [], []
-            for text in batch.column("_text").to_pylist():
-                data = None if text is None else text.encode("utf-8", "surrogatepass")
-                z.append(None if data is None else press.compress(data))
-                found.append(Parsed((data or b"").split()))
-            offsets = pa.array(np.concatenate([[0], np.cumsum([len(p.first) for p in found])]), pa.int32())
-            lists = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([getattr(p, k) for p in found] or [np.zeros(0, np.int64)]).astype(np.int64))) for k in ("gram", "block1", "block2")]
-            yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("_rest"), pa.array(z, pa.binary()), *lists], names=schema.names)
+        z = [None if t is None else press.compress(t.encode("utf-8", "surrogatepass")) for t in batch.column("_text").to_pylist()]
+        return pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("_rest"), pa.array(z, pa.binary())], names=schema.names)
 
-    return source.mapInArrow(run, schema).repartition(shuffle_width(docs.sparkSession), "_id")
+    return map_batches(source, one, schema)
 
 
 def duplicate_index(parsed: DataFrame) -> DataFrame:
     """Per document: ``_dups`` the blocks known from smaller documents, ``_open`` the anchors at factor boundaries."""
     zipped = F.explode(F.arrays_zip("_gram", "_block1", "_block2"))
-    blocks = parsed.where("_id is not null and size(_gram) > 0").select("_id", zipped.alias("b")).select("_id", F.col("b._gram").alias("gram"), F.col("b._block1").alias("b1"), F.col("b._block2").alias("b2"))
+    blocks = parsed.select("_id", zipped.alias("b")).select("_id", F.col("b._gram").alias("gram"), F.col("b._block1").alias("b1"), F.col("b._block2").alias("b2"))
     grams = blocks.groupBy("gram").agg(F.min("_id").alias("low"), F.max("_id").alias("high"), (F.min("b1") != F.max("b1")).alias("mixed"))
     shared = cut(grams.where("low < high").select("gram", "mixed"))
     mine = cut(blocks.join(shared, "gram").select("_id", "gram", "b1", "b2", "mixed"))
@@ -176,9 +182,9 @@ def duplicate_index(parsed: DataFrame) -> DataFrame:
     )
 
 
-def boundary_windows(parsed: DataFrame, index: DataFrame) -> DataFrame:
+def boundary_windows(texts: DataFrame, index: DataFrame) -> DataFrame:
     """Per document: ``_wins``, the single windows at factor boundaries that smaller documents have."""
-    todo = parsed.select("_id", "_z").join(index.where("_open <> ''"), "_id")
+    todo = texts.select("_id", "_z").join(index.where("_open <> ''"), "_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpress = zstandard.ZstdDecompressor()
@@ -221,10 +227,10 @@ def removal_mask(p: Parsed, dups: np.ndarray, wins: np.ndarray) -> np.ndarray:
 def parse_documents(docs: DataFrame, keep_rest: bool, digest: bool) -> DataFrame:
     """Every row with its word counts and the text without duplicate spans (or that text's SHA-256)."""
     spark = docs.sparkSession
-    parsed = cut(parse_blocks(docs if keep_rest else docs.select("doc_id", "text")))
-    index = duplicate_index(parsed)
-    wins = boundary_windows(parsed, index)
-    joined = parsed.select("_id", "_rest", "_z").join(index.select("_id", "_dups"), "_id", "left").join(wins, "_id", "left")
+    texts = compressed(docs if keep_rest else docs.select("doc_id", "text"))
+    index = duplicate_index(cut(parse_blocks(docs)))
+    wins = boundary_windows(texts, index)
+    joined = texts.join(index.select("_id", "_dups"), "_id", "left").join(wins, "_id", "left")
     schema = T.StructType([joined.schema["_rest"], T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())])
     bound_batches(spark)
 
