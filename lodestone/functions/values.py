@@ -17,7 +17,6 @@ from pyspark.sql import types as T
 
 from lodestone.functions.paths import Segment, variant_path
 
-FALSE, TRUE = F.lit(False), F.lit(True)
 #: BSON type codes and aliases (fixed values).
 TYPE_NAMES = {
     1: "number", 2: "string", 3: "object", 4: "array", 8: "bool", 9: "date", 10: "null", 16: "int", 18: "long",
@@ -27,9 +26,17 @@ ISO = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}\.\d{3}Z$"
 Pred = Callable[["Value"], Column]
 
 
+def false() -> Column:
+    return F.lit(False)
+
+
+def true() -> Column:
+    return F.lit(True)
+
+
 def holds(c: Column) -> Column:
     """Unknown counts as false."""
-    return F.coalesce(c, FALSE)
+    return F.coalesce(c, false())
 
 
 def iso(value: dt.datetime | dt.date) -> str:
@@ -198,38 +205,38 @@ class Typed(Value):
         if other is None:
             return self.null()
         if isinstance(other, dict) and isinstance(self.dtype, T.StructType):
-            return F.to_json(self.col) == F.to_json(literal_of(other, self.dtype)) if set(other) <= set(self.dtype.names) else FALSE
+            return F.to_json(self.col) == F.to_json(literal_of(other, self.dtype)) if set(other) <= set(self.dtype.names) else false()
         if isinstance(other, (list, tuple)) and isinstance(self.dtype, T.ArrayType):
             return self.col == literal_of(list(other), self.dtype)
         value = self.literal(other)
-        return FALSE if value is None else self.col == value
+        return false() if value is None else self.col == value
 
     def compare(self, op: str, other: Any) -> Column:
         value = self.literal(other)
-        return FALSE if value is None else operation(op, self.col, value)
+        return false() if value is None else operation(op, self.col, value)
 
     def maybe_array(self) -> bool:
         return isinstance(self.dtype, T.ArrayType)
 
     def is_array(self) -> Column:
-        return self.col.isNotNull() if self.maybe_array() else FALSE
+        return self.col.isNotNull() if self.maybe_array() else false()
 
     def any_element(self, pred: Pred) -> Column:
         if not self.maybe_array():
-            return FALSE
+            return false()
         return F.exists(self.col, lambda e: holds(pred(wrap(e, self.dtype.elementType))))  # type: ignore[attr-defined]
 
     def size_is(self, n: int) -> Column:
-        return F.size(self.col) == n if self.maybe_array() else FALSE
+        return F.size(self.col) == n if self.maybe_array() else false()
 
     def type_is(self, name: str) -> Column:
         mine = self.kind()
         if name in ("int", "long"):
             whole = isinstance(self.dtype, (T.ByteType, T.ShortType, T.IntegerType, T.LongType))
-            return self.col.isNotNull() if whole else FALSE
+            return self.col.isNotNull() if whole else false()
         if name == "null":
             return self.col.isNull()
-        return self.col.isNotNull() if mine == name else FALSE
+        return self.col.isNotNull() if mine == name else false()
 
     def as_text(self) -> Column:
         if self.kind() in ("array", "object"):
@@ -248,38 +255,41 @@ class Typed(Value):
 class Absent(Value):
     """A path that the schema does not have: missing in every row."""
 
-    col = F.lit(None)
     dtype = T.NullType()
 
+    @property
+    def col(self) -> Column:  # type: ignore[override]
+        return F.lit(None)
+
     def child(self, segments: tuple[Segment, ...]) -> Value:
         return self
 
     def missing(self) -> Column:
-        return TRUE
+        return true()
 
     def null(self) -> Column:
-        return TRUE
+        return true()
 
     def equals(self, other: Any) -> Column:
-        return TRUE if other is None else FALSE
+        return true() if other is None else false()
 
     def compare(self, op: str, other: Any) -> Column:
-        return FALSE
+        return false()
 
     def maybe_array(self) -> bool:
         return False
 
     def is_array(self) -> Column:
-        return FALSE
+        return false()
 
     def any_element(self, pred: Pred) -> Column:
-        return FALSE
+        return false()
 
     def size_is(self, n: int) -> Column:
-        return FALSE
+        return false()
 
     def type_is(self, name: str) -> Column:
-        return FALSE
+        return false()
 
     def as_text(self) -> Column:
         return F.lit(None).cast("string")
@@ -342,7 +352,7 @@ class Doc(Value):
             return operation(op, self.text(), F.lit(iso(other)))
         if kind == "bool":
             return operation(op, self.truth(), F.lit(other))
-        return FALSE
+        return false()
 
     def maybe_array(self) -> bool:
         return True

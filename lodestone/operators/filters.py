@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from lodestone.functions import patterns
 from lodestone.functions.paths import parse
-from lodestone.functions.values import FALSE, TRUE, TYPE_NAMES, Absent, Doc, Typed, Value, holds, kind_of, wrap
+from lodestone.functions.values import TYPE_NAMES, Absent, Doc, Typed, Value, false, holds, kind_of, true, wrap
 
 #: Operators that a field may carry.
 FIELD_OPERATORS = ("$eq", "$ne", "$gt", "$gte", "$lt", "$lte", "$in", "$nin", "$exists", "$not", "$all", "$elemMatch", "$regex", "$options", "$size", "$type", "$mod")
@@ -71,7 +71,7 @@ class Compiler:
     def unknown(self, what: str) -> Column:
         if self.strict:
             raise ValueError(f"unknown operator {what}")
-        return FALSE
+        return false()
 
     # documents
 
@@ -79,7 +79,7 @@ class Compiler:
         if not isinstance(query, dict):
             raise TypeError("a filter must be a mapping")
         parts = [self.entry(root, k, v) for k, v in query.items()]
-        return reduce(lambda a, b: a & b, parts) if parts else TRUE
+        return reduce(lambda a, b: a & b, parts) if parts else true()
 
     def entry(self, root: Root, key: str, arg: Any) -> Column:
         if not key.startswith("$"):
@@ -103,9 +103,9 @@ class Compiler:
     def search(self, root: Root, arg: Any) -> Column:
         wanted = arg.get("$search") if isinstance(arg, dict) else arg
         if not isinstance(wanted, str) or not wanted.strip():
-            return FALSE
+            return false()
         parts = [holds(F.contains(F.lower(c), F.lit(wanted.lower()))) for c in root.texts()]
-        return reduce(lambda a, b: a | b, parts) if parts else FALSE
+        return reduce(lambda a, b: a | b, parts) if parts else false()
 
     # fields
 
@@ -160,14 +160,14 @@ class Compiler:
             return value.size_is(int(arg))
         if op == "$type":
             names = [TYPE_NAMES.get(x) for x in (arg if isinstance(arg, (list, tuple)) else [arg])]
-            return reduce(lambda a, b: a | b, [value.type_is(n) if n else FALSE for n in names]) if names else FALSE
+            return reduce(lambda a, b: a | b, [value.type_is(n) if n else false() for n in names]) if names else false()
         if op == "$mod":
             return self.modulo(value, arg)
         return self.unknown(op)
 
     def one_of(self, value: Value, items: list[Any]) -> Column:
         if not items:
-            return FALSE
+            return false()
         plain = [x for x in items if kind_of(x) not in ("object", "array", "null")]
         parts = []
         if isinstance(value, Typed) and not value.maybe_array():
@@ -183,13 +183,13 @@ class Compiler:
                 parts += [value.equals(x), value.any_element(lambda e, x=x: self.subset(e, x))]
             elif isinstance(x, (list, tuple)):
                 parts.append(value.either(lambda v, x=x: v.equals(x)))
-        return reduce(lambda a, b: a | b, parts) if parts else FALSE
+        return reduce(lambda a, b: a | b, parts) if parts else false()
 
     def all_of(self, value: Value, items: Any) -> Column:
         if not isinstance(items, (list, tuple)):
             raise TypeError("$all needs a list")
         if not items:
-            return FALSE
+            return false()
         need = [value.any_element(lambda e, x=x: self.subset(e, x) if isinstance(x, dict) else e.equals(x)) for x in items]
         return reduce(lambda a, b: a & b, [value.is_array(), *need])
 
@@ -208,12 +208,12 @@ class Compiler:
     def regex(self, value: Value, pattern: str, options: str) -> Column:
         java = patterns.to_java(pattern, options)
         if not patterns.compiles(java):
-            return FALSE
-        return value.either(lambda v: FALSE if isinstance(v, Typed) and v.kind() in ("array", "object") else v.as_text().rlike(java))
+            return false()
+        return value.either(lambda v: false() if isinstance(v, Typed) and v.kind() in ("array", "object") else v.as_text().rlike(java))
 
     def modulo(self, value: Value, arg: Any) -> Column:
         if not isinstance(arg, (list, tuple)) or len(arg) != 2 or not arg[0]:
-            return FALSE
+            return false()
         divisor, remainder = (int(x) for x in arg)
         return value.either(lambda v: F.try_mod(v.number().cast("long") if not isinstance(v, Doc) else F.when(F.abs(v.number()) < 9e18, v.number()).cast("long"), F.lit(divisor).cast("long")) == remainder)
 

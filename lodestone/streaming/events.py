@@ -19,7 +19,10 @@ LOG_SCHEMA = T.StructType(
         T.StructField("full_document_before", T.StringType()),
     ]
 )
-POSITION = F.struct("version", "seq")
+
+
+def position() -> Column:
+    return F.struct("version", "seq")
 
 
 def top_level(document: Column) -> Column:
@@ -56,11 +59,11 @@ def change_events(log: DataFrame, full_document: str = "default", before: str =
 
 def coalesced(log: DataFrame) -> DataFrame:
     """The last log row of each document (a partial aggregate, so a hot document shuffles one row per task)."""
-    latest = log.groupBy("collection", "document_id").agg(F.max_by(F.struct(*[c for c in log.columns if c not in ("collection", "document_id")]), POSITION).alias("last"))
+    latest = log.groupBy("collection", "document_id").agg(F.max_by(F.struct(*[c for c in log.columns if c not in ("collection", "document_id")]), position()).alias("last"))
     return latest.select("collection", "document_id", "last.*").select(*log.columns)
 
 
 def compacted(log: DataFrame, floor: tuple[int, int]) -> DataFrame:
     """The log with only each document's last row above ``floor``; rows at or below it stay."""
     at = F.struct(F.lit(floor[0]).cast("long").alias("version"), F.lit(floor[1]).cast("long").alias("seq"))
-    return log.where(POSITION <= at).unionByName(coalesced(log.where(POSITION > at)))
+    return log.where(position() <= at).unionByName(coalesced(log.where(position() > at)))
