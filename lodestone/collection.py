@@ -35,7 +35,7 @@ def distinct_values(df: DataFrame, path: str, document: str | None = None) -> Da
     """The distinct values of a field as ``value``; arrays count by element, missing values do not."""
     value = Root.of(df, document).value(path)
     if isinstance(value, Doc):
-        items = F.when(value.is_array(), F.transform(value.elements(), F.to_json)).when(~value.missing(), F.array(F.to_json(value.col)))
+        items = F.when(value.is_array(), F.transform(value.elements(), lambda e: F.to_json(e))).when(~value.missing(), F.array(F.to_json(value.col)))
         return df.select(F.explode(items).alias("value")).distinct()
     rows = df.select(F.explode(value.col).alias("value") if value.maybe_array() else value.col.alias("value"))
     return rows.where("value is not null").distinct()
