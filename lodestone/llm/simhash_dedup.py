@@ -1,13 +1,20 @@
 """SimHash near-duplicate groups through BK-trees.
 
-A document's fingerprint takes bit i where more than half of its word shingles' XXH64 values have it. Documents
-link where fingerprints differ in at most ``radius`` bits; a group is what links connect.
-
-Each distinct fingerprint is one tree entry. The 64 bits are cut into radius+m blocks: two fingerprints within
-the radius agree on m whole blocks at least, so every set of m blocks names shards (its bits, masked) and each
-pair meets in one. A shard holds a BK-tree: children keyed by the integer Hamming distance to their parent, a
-search follows only edges within the radius of its own distance. m grows with the number of fingerprints, so
-shards stay small; every m is exact. The trees travel by shuffle, not by broadcast, because all of them together
+A document's fingerprint takes bit i where more than half of its word shingles' hashes have it. Documents link
+where fingerprints differ in at most ``radius`` bits; a group is what links connect.
+
+Each distinct fingerprint is one tree entry. Masks of fingerprint bits name shards (the masked bits); a shard holds
+a BK-tree: children keyed by the integer Hamming distance to their parent, a search follows only edges within the
+radius of its own distance. There are two sets of masks:
+
+- a small radius on 64 bits (``near_duplicate_groups``): the bits are cut into radius+m blocks, two fingerprints
+  within the radius agree on m whole blocks at least, so all sets of m blocks together miss no pair. m grows with
+  the number of fingerprints, so shards stay small; every m is exact.
+- a shingle similarity (``similar_groups``): near copies of similarity 0.8 differ in about 15 % of 128 bits, too
+  many for blocks. Random masks of k bits are drawn, as many as let such a pair agree on one of them with the
+  chance ``MASK_RECALL``; k follows the logarithm of the number of fingerprints.
+
+The trees travel by shuffle, not by broadcast, because all of them together
 grow with the corpus. A shard above ``SHARD_LIMIT`` entries is cut into parts and each pair of parts is a tree of
 its own, so no task holds an unbounded group. A tree search takes what it finds out of the tree: links form a
 spanning forest, never all pairs of a group.
@@ -18,7 +25,9 @@ a group; an empty table gives no rows; other columns are not read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+import random
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -33,6 +42,8 @@ from lodestone.llm.components import components
 SHARD_LIMIT = 2048
 #: Shards are sized for about this many fingerprints each, if these are spread evenly.
 SHARD_AIM = 64
+#: Chance that a pair at the similarity threshold meets in a shard, and bits that the radius adds to the expected distance.
+MASK_RECALL, WIDE_BITS, WIDE_SLACK = 0.97, 128, 5
 
 
 def fingerprint(text: str | None, shingle: int = 4) -> int:
@@ -123,6 +134,40 @@ def forest(values: list[int], radius: int) -> list[tuple[int, int]]:
     return links
 
 
+def wide_fingerprint(text: str | None, shingle: int = 5) -> bytes:
+    """The 128-bit SimHash of a text's distinct word shingles, as two little-endian words."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not words:
+        return bytes(16)
+    if len(words) <= shingle:
+        return xxhash.xxh3_128_digest(b" ".join(words))
+    grams = set(map(b" ".join, zip(*(words[i:] for i in range(shingle)))))
+    h = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, grams)), np.uint8).reshape(len(grams), 16)
+    votes = np.zeros(128, np.int64)
+    for at in range(0, len(h), 1 << 15):
+        votes += np.unpackbits(h[at : at + (1 << 15)], axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(votes * 2 > len(h), bitorder="little").tobytes()
+
+
+def wide_fingerprints(docs: DataFrame, shingle: int = 5) -> DataFrame:
+    """(doc_id, hi long, lo long) for every row."""
+
+    def one(batch: pa.RecordBatch) -> pa.RecordBatch:
+        fps = np.frombuffer(b"".join(wide_fingerprint(t, shingle) for t in batch.column("text").to_pylist()), np.int64).reshape(-1, 2)
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps[:, 1].copy()), pa.array(fps[:, 0].copy())], names=["doc_id", "hi", "lo"])
+
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return map_batches(source, one, "doc_id long, hi long, lo long")
+
+
+def random_masks(share: float, count: int, bits: int = 128) -> list[int]:
+    """Masks of which a pair that differs in this share of its bits agrees on one with the chance MASK_RECALL."""
+    k = min(24, max(8, count.bit_length() - 3))
+    tables = math.ceil(math.log(1 - MASK_RECALL) / math.log(1 - (1 - share) ** k))
+    rng = random.Random(bits * 1000 + k)
+    return [sum(1 << b for b in rng.sample(range(bits), k)) for _ in range(tables)]
+
+
 def block_masks(radius: int, count: int) -> list[int]:
     """Masks such that any two fingerprints within the radius agree on one of them."""
     m = 1
@@ -139,13 +184,14 @@ def signed(x: int) -> int:
 
 
 def search_shards(members: DataFrame, radius: int) -> DataFrame:
-    """``members`` (shard keys.., fp, node), sorted by shard within partitions -> links (a > b)."""
+    """``members`` (shard keys.., hi, lo, node), sorted by shard within partitions -> links (a > b)."""
     keys = ["mask_no", "bits", "part_a", "part_b"]
     bound_batches(members.sparkSession)
 
     def links(fps: np.ndarray, nodes: np.ndarray) -> list[tuple[int, int]]:
         out = []
-        for i, j in forest(fps.view(np.uint64).tolist(), radius):
+        high, low = (np.ascontiguousarray(fps[:, i]).view(np.uint64).tolist() for i in range(2))
+        for i, j in forest([a << 64 | b for a, b in zip(high, low)] if any(high) else low, radius):
             a, b = int(nodes[i]), int(nodes[j])
             out.append((max(a, b), min(a, b)))
         return out
@@ -160,12 +206,12 @@ def search_shards(members: DataFrame, radius: int) -> DataFrame:
             ends = np.r_[starts[1:], len(table)]
             out: list[tuple[int, int]] = []
             for s, e in zip(starts[ends - starts > 1], ends[ends - starts > 1]):
-                out += links(table[s:e, 4].copy(), table[s:e, 5])
+                out += links(table[s:e, 4:6], table[s:e, 6])
             a = np.array(out, np.int64).reshape(-1, 2)
             return pa.RecordBatch.from_arrays([pa.array(a[:, 0]), pa.array(a[:, 1])], names=["a", "b"])
 
         for batch in batches:
-            table = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in [*keys, "fp", "node"]], axis=1)
+            table = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in [*keys, "hi", "lo", "node"]], axis=1)
             if not len(table):
                 continue
             held.append(table)
@@ -182,27 +228,48 @@ def search_shards(members: DataFrame, radius: int) -> DataFrame:
     return members.mapInArrow(run, "a long, b long")
 
 
-def link_fingerprints(classes: DataFrame, radius: int = 4) -> DataFrame:
-    """``classes`` (fp, node), fp distinct -> links (a, b) that span the groups."""
-    masks = block_masks(radius, classes.count())
-    shards = F.explode(F.array(*(F.struct(F.lit(i).alias("mask_no"), F.col("fp").bitwiseAND(F.lit(signed(m)).cast("long")).alias("bits")) for i, m in enumerate(masks))))
-    members = classes.select("fp", "node", shards.alias("s")).select("fp", "node", "s.mask_no", "s.bits")
+def link_fingerprints(classes: DataFrame, masks: list[int], radius: int) -> DataFrame:
+    """``classes`` (hi, lo, node), fingerprints distinct -> links (a, b) that span the groups."""
+
+    def masked(m: int) -> F.Column:
+        high, low = (F.lit(signed(x)).cast("long") for x in (m >> 64, m & ((1 << 64) - 1)))
+        parts = [F.col("lo").bitwiseAND(low)] if not m >> 64 else [F.xxhash64(F.col("hi").bitwiseAND(high), F.col("lo").bitwiseAND(low))]
+        return parts[0]
+
+    shards = F.explode(F.array(*(F.struct(F.lit(i).alias("mask_no"), masked(m).alias("bits")) for i, m in enumerate(masks))))
+    members = classes.select("hi", "lo", "node", shards.alias("s")).select("hi", "lo", "node", "s.mask_no", "s.bits")
     large = cut(members.groupBy("mask_no", "bits").agg(F.count("*").alias("n")).where(F.col("n") > SHARD_LIMIT).select("mask_no", "bits", F.ceil(F.col("n") / SHARD_LIMIT).cast("int").alias("parts")))
-    own = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
+    own = F.pmod(F.xxhash64("hi", "lo"), F.col("parts")).cast("int")
     sized = members.join(large, ["mask_no", "bits"], "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("own", own)
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    cells = sized.withColumn("other", other).select("mask_no", "bits", F.least("own", "other").alias("part_a"), F.greatest("own", "other").alias("part_b"), "fp", "node")
+    cells = sized.withColumn("other", other).select("mask_no", "bits", F.least("own", "other").alias("part_a"), F.greatest("own", "other").alias("part_b"), "hi", "lo", "node")
     keys = ["mask_no", "bits", "part_a", "part_b"]
     return search_shards(cells.repartition(shuffle_width(classes.sparkSession), *keys).sortWithinPartitions(*keys), radius)
 
 
+def grouped(prints: DataFrame, masks_for: Callable[[int], list[int]], radius: int) -> DataFrame:
+    """``prints`` (doc_id, hi, lo) with ``component_id``, the smallest doc_id that links reach."""
+    classes = cut(prints.groupBy("hi", "lo").agg(F.coalesce(F.min("doc_id"), F.lit(-1 << 63).cast("long")).alias("node")))
+    labels = components(link_fingerprints(classes, masks_for(classes.count()), radius))
+    groups = cut(classes.join(labels, "node", "left").select("hi", "lo", F.coalesce("component", "node").alias("component_id")))
+    return prints.join(groups, ["hi", "lo"])
+
+
 def near_duplicate_groups(docs: DataFrame, shingle: int = 4, radius: int = 4) -> DataFrame:
-    """(doc_id, fp, component_id) for every row; component_id is the smallest doc_id that links reach."""
-    prints = cut(fingerprints(docs, shingle))
-    classes = cut(prints.groupBy("fp").agg(F.coalesce(F.min("doc_id"), F.lit(-1 << 63).cast("long")).alias("node")))
-    labels = components(link_fingerprints(classes, radius))
-    groups = cut(classes.join(labels, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id")))
-    return prints.join(groups, "fp").select("doc_id", "fp", "component_id")
+    """(doc_id, fp, component_id) for every row: 64-bit fingerprints linked within the radius, no pair missed."""
+    prints = cut(fingerprints(docs, shingle).select("doc_id", F.lit(0).cast("long").alias("hi"), F.col("fp").alias("lo")))
+    return grouped(prints, lambda n: block_masks(radius, n), radius).select("doc_id", F.col("lo").alias("fp"), "component_id")
+
+
+def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(doc_id, component_id) for every row: documents linked whose shingle sets are about as similar as asked, or more.
+
+    Sets of one size with Jaccard similarity s have the cosine 2s/(1+s); the angle's share of a half turn is the
+    expected share of differing bits. The radius is that share of 128 bits plus WIDE_SLACK.
+    """
+    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    radius = round(share * WIDE_BITS) + WIDE_SLACK
+    return grouped(cut(wide_fingerprints(docs, shingle)), lambda n: random_masks(share, n), radius).select("doc_id", "component_id")
 
 
 def dedup_query(docs: DataFrame) -> DataFrame:
@@ -210,8 +277,8 @@ def dedup_query(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one_each(docs: DataFrame, shingle: int = 5, radius: int = 4) -> DataFrame:
+def keep_one_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """The documents without near-duplicates: of each group the smallest doc_id stays (all rows without a doc_id stay)."""
-    groups = near_duplicate_groups(docs.where("doc_id is not null"), shingle, radius)
+    groups = similar_groups(docs.where("doc_id is not null"), shingle, similarity)
     gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)

@@ -152,3 +152,25 @@ def test_dedup_empty_and_keep_one(spark):
     kept = simhash_dedup.keep_one_each(docs(spark, [(3, text), (5, text), (6, text.replace("word7 ", "x ")), (9, "other text entirely here now")]))
     assert sorted(r.doc_id for r in kept.collect()) == [3, 9]
     assert kept.columns[0:5] == ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def test_similar_documents_group_and_others_stay(spark):
+    rng = random.Random(11)
+    rows, want = [], {}
+    for _ in range(60):
+        words = [f"w{rng.randint(0, 5000)}" for _ in range(rng.randint(120, 400))]
+        first = len(rows)
+        for c in range(rng.randint(1, 5)):
+            copy = list(words)
+            for _ in range(len(words) // 90 if c else 0):  # similarity about 0.9 to the first
+                copy[rng.randrange(len(copy))] = f"x{rng.randint(0, 9999)}"
+            want[len(rows)] = first
+            rows.append((len(rows), " ".join(copy)))
+        rows.append((len(rows), " ".join(words[: len(words) // 3] + [f"y{rng.randint(0, 9999)}" for _ in words[len(words) // 3 :]])))
+        want[len(rows) - 1] = len(rows) - 1
+    got = {r.doc_id: r.component_id for r in simhash_dedup.similar_groups(docs(spark, rows)).collect()}
+    assert set(got) == set(want)
+    copies = [d for d in want if want[d] != d]
+    assert sum(got[d] == want[d] for d in copies) >= 0.97 * len(copies)
+    assert all(got[d] == d for d in want if want[d] == d)
+    assert simhash_dedup.similar_groups(docs(spark, [])).count() == 0

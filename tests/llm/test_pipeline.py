@@ -44,8 +44,8 @@ def test_stages_and_run(spark, tmp_path):
         kept[name] = {r.doc_id: r.text for r in docs.collect()}
     clean = dict(rows[:120])
     assert kept["language"] == dict(rows[:140])
-    prints = {d: simhash_dedup.fingerprint(t, 5) for d, t in clean.items()}
-    near = {d for d in prints for e in prints if e < d and (prints[d] ^ prints[e]).bit_count() <= 4}
+    prints = {d: int.from_bytes(simhash_dedup.wide_fingerprint(t), "little") for d, t in clean.items()}
+    near = {d for d in prints for e in prints if e < d and (prints[d] ^ prints[e]).bit_count() <= 24}
     assert not near and kept["near_duplicates"] == clean
     seen, expected = set(), {}
     for d, t in sorted(clean.items()):
