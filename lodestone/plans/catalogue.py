@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import datetime as dt
+import json
 import re
 from collections.abc import Callable
 from typing import Any
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -554,6 +556,115 @@ def compact_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compacted(log, (1, half)).agg(F.count("*").alias("n"))
 
 
+@query("change_stream", f"SELECT event_id AS seq, op AS operation_type, CAST(user_id AS VARCHAR) AS document_id FROM {LOG_SQL} WHERE op IN ('insert', 'delete')")
+def change_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The change events by Structured Streaming: log folder -> filtered events -> Parquet sink with a checkpoint."""
+    from lodestone.sources.folders import scratch
+    from lodestone.streaming.events import LOG_SCHEMA
+
+    folder = scratch(spark, "change_stream")
+    change_log(spark, sf_dir).write.parquet(f"{folder}/log")
+    events = change_events(spark.readStream.schema(LOG_SCHEMA).parquet(f"{folder}/log"))
+    wanted = events.where(compile_filter({"operationType": {"$in": ["insert", "delete"]}, "ns.coll": "users"}, Root.of(events)))
+    out = wanted.select("seq", F.col("operationType").alias("operation_type"), F.col("documentKey._id").alias("document_id"))
+    out.writeStream.option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).format("parquet").start(f"{folder}/out").awaitTermination()
+    return spark.read.schema(out.schema).parquet(f"{folder}/out")
+
+
+@query("diff_documents", f"SELECT event_id AS seq, CAST(CASE WHEN event_type <> kind_before THEN 1 ELSE 0 END + CASE WHEN v <> v_before THEN 1 ELSE 0 END AS INT) AS n_set, CAST(0 AS INT) AS n_unset FROM {LOG_SQL} WHERE op = 'update'")
+def diff_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Field-level differences of each update's document pair (nested documents need Python; batches go by Arrow)."""
+    from lodestone.sync.diff import diff
+
+    @F.pandas_udf("n_set int, n_unset int")
+    def counted(before: pd.Series, after: pd.Series) -> pd.DataFrame:
+        found = [diff(json.loads(a), json.loads(b)) for a, b in zip(before, after)]
+        return pd.DataFrame({"n_set": [len(d.set) for d in found], "n_unset": [len(d.unset) for d in found]})
+
+    rows = change_log(spark, sf_dir).where("operation = 'update'")
+    return rows.select("seq", counted("full_document_before", "full_document").alias("d")).select("seq", "d.*")
+
+
+@query("prune_log", f"SELECT count(*) AS n FROM {LOG_SQL} WHERE event_id > (SELECT max(event_id) // 3 FROM events)")
+def prune_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = change_log(spark, sf_dir)
+    third = log.agg(F.max("seq").alias("top")).first()["top"] // 3
+    return log.where(F.struct("version", "seq") > F.struct(F.lit(1).cast("long").alias("version"), F.lit(third).cast("long").alias("seq"))).agg(F.count("*").alias("n"))
+
+
+@query("backfill_scan", "SELECT CAST(c_custkey AS VARCHAR) AS _id, c_name FROM customer ORDER BY _id")
+def backfill_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return customers_by_id(spark, sf_dir).orderBy("_id").select("_id", "c_name")
+
+
+@query("find_one", "SELECT CAST(c_custkey AS VARCHAR) AS _id, c_name FROM customer WHERE c_acctbal > 9000 ORDER BY _id DESC LIMIT 1")
+def find_one(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.collection import Collection
+
+    c = Collection(spark, "customers", customers_by_id(spark, sf_dir))
+    return c.find({"c_acctbal": {"$gt": 9000}}).sort({"_id": -1}).limit(1).project({"c_name": 1}).frame()
+
+
+FIRST_RICH = "(SELECT min(CAST(c_custkey AS VARCHAR)) FROM customer WHERE c_acctbal > 9000)"
+
+
+@query("delete_one", f"SELECT CAST(c_custkey AS VARCHAR) AS _id FROM customer WHERE CAST(c_custkey AS VARCHAR) <> {FIRST_RICH}")
+def delete_one(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.collection import Collection
+
+    c = Collection(spark, "customers", customers_by_id(spark, sf_dir))
+    c.delete_one({"c_acctbal": {"$gt": 9000}})
+    return c.frame().select("_id")
+
+
+@query("find_one_and_update", f"SELECT CAST(c_custkey AS VARCHAR) AS _id, CASE WHEN CAST(c_custkey AS VARCHAR) = {FIRST_RICH} THEN c_acctbal + 1 ELSE c_acctbal END AS c_acctbal FROM customer")
+def find_one_and_update(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.collection import Collection
+
+    c = Collection(spark, "customers", customers_by_id(spark, sf_dir))
+    c.find_one_and_update({"c_acctbal": {"$gt": 9000}}, {"$inc": {"c_acctbal": 1}})
+    return c.frame().select("_id", "c_acctbal")
+
+
+@query("update_many_documents", "SELECT CAST(c_custkey AS VARCHAR) AS _id, CASE WHEN c_acctbal > 5000 THEN c_nationkey + 5 ELSE c_nationkey END AS nation, CASE WHEN c_acctbal > 5000 THEN 'x' END AS mark FROM customer")
+def update_many_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The document tier: JSON text in, JSON text out."""
+    from lodestone.collection import Collection
+
+    raw = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("_id"), F.to_json(F.struct("c_acctbal", "c_nationkey")).alias("data"))
+    c = Collection(spark, "customers", raw, documents=True)
+    c.update_many({"c_acctbal": {"$gt": 5000}}, {"$inc": {"c_nationkey": 5}, "$push": {"notes.marks": "x"}})
+    root = Root.of(c.rows(), "doc")
+    return c.rows().select("_id", root.value("c_nationkey").number().cast("int").alias("nation"), root.value("notes.marks[0]").as_text().alias("mark"))
+
+
+@query("unique_violations", "SELECT o_custkey AS k0, strftime(o_orderdate, '%Y-%m-%d') AS k1, count(*) AS count FROM orders GROUP BY o_custkey, o_orderdate HAVING count(*) > 1")
+def unique_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a unique index over two fields would refuse."""
+    df = table(spark, sf_dir, "orders")
+    keys = [Root.of(df).value(p).col.alias(f"k{i}") for i, p in enumerate(("o_custkey", "o_orderdate"))]
+    return df.select(*keys).dropna().groupBy("k0", "k1").count().where("count > 1").withColumn("k1", F.date_format("k1", "yyyy-MM-dd"))
+
+
+@query("list_collections", "SELECT * FROM (VALUES ('customer'), ('nation'), ('region')) AS t(name)")
+def list_collections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.collection import Database
+
+    db = Database(spark)
+    for name in ("region", "customer", "nation"):
+        db.register(name, table(spark, sf_dir, name))
+    return spark.createDataFrame([(n,) for n in db.list_collections()], "name string")
+
+
+@query("raw_sql_case", "SELECT c_mktsegment, CAST(sum(CASE WHEN c_acctbal < 0 THEN 1 ELSE 0 END) AS BIGINT) AS debtors, count(*) * 2 AS twice FROM customer WHERE c_name LIKE 'Customer%' GROUP BY 1 ORDER BY debtors DESC")
+def raw_sql_case(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.collection import Database
+
+    db = Database(spark)
+    db.register("customer", table(spark, sf_dir, "customer"))
+    return db.sql("SELECT c_mktsegment, sum(CASE WHEN c_acctbal < 0 THEN 1 ELSE 0 END) AS debtors, count(*) * 2 AS twice FROM customer WHERE c_name LIKE 'Customer%' GROUP BY 1 ORDER BY debtors DESC")
+
+
 # tools
 
 
