@@ -66,6 +66,26 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in found}
 
 
+#: The contract of substring dedup, window by window.
+SUBSTRING_DEDUP_SQL = r"""
+WITH docs AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+windows AS (
+  SELECT doc_id, s, md5(array_to_string(words[s:s + 49], ' ')) AS h
+  FROM (SELECT doc_id, words, unnest(range(1, len(words) - 48)) AS s FROM docs)
+),
+firsts AS (SELECT h, min(doc_id) AS first FROM windows GROUP BY h),
+late AS (SELECT doc_id, s FROM windows JOIN firsts USING (h) WHERE doc_id > first),
+gone AS (SELECT DISTINCT doc_id, s + k AS i FROM late, range(0, 50) AS r(k)),
+placed AS (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS i FROM docs),
+kept AS (
+  SELECT doc_id, count(g.i) AS n_removed, string_agg(word, ' ' ORDER BY p.i) FILTER (WHERE g.i IS NULL) AS text
+  FROM placed p LEFT JOIN gone g USING (doc_id, i) GROUP BY doc_id
+)
+SELECT d.doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(k.text, '')) AS kept_sha256
+FROM docs d LEFT JOIN kept k USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    """None yet: these results hold checksums and hashes that SQL lacks; ``tests/llm`` has brute-force versions."""
-    return {}
+    """The other results hold hashes, checksums or model outputs that SQL lacks; ``tests/llm`` has brute-force versions."""
+    return {"op3_substring_dedup": SUBSTRING_DEDUP_SQL}

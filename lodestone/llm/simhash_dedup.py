@@ -33,7 +33,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import bound_batches, cut, map_batches, shuffle_width
@@ -231,10 +231,11 @@ def search_shards(members: DataFrame, radius: int) -> DataFrame:
 def link_fingerprints(classes: DataFrame, masks: list[int], radius: int) -> DataFrame:
     """``classes`` (hi, lo, node), fingerprints distinct -> links (a, b) that span the groups."""
 
-    def masked(m: int) -> F.Column:
+    def masked(m: int) -> Column:
         high, low = (F.lit(signed(x)).cast("long") for x in (m >> 64, m & ((1 << 64) - 1)))
-        parts = [F.col("lo").bitwiseAND(low)] if not m >> 64 else [F.xxhash64(F.col("hi").bitwiseAND(high), F.col("lo").bitwiseAND(low))]
-        return parts[0]
+        if not m >> 64:
+            return F.col("lo").bitwiseAND(low)
+        return F.xxhash64(F.col("hi").bitwiseAND(high), F.col("lo").bitwiseAND(low))
 
     shards = F.explode(F.array(*(F.struct(F.lit(i).alias("mask_no"), masked(m).alias("bits")) for i, m in enumerate(masks))))
     members = classes.select("hi", "lo", "node", shards.alias("s")).select("hi", "lo", "node", "s.mask_no", "s.bits")

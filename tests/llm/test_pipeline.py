@@ -60,3 +60,11 @@ def test_stages_and_run(spark, tmp_path):
     assert not any(re.search(r"@example", t) for t in kept["personal_data"].values())
     pieces = __spark_entry__.queries()["pipeline"](spark, str(tmp_path)).collect()
     assert {r.doc_id for r in pieces} == set(clean) and sum(r.length for r in pieces) == sum(r.doc_tokens for r in pieces if r.start == 0)
+
+
+def test_stages_on_an_empty_table(spark):
+    docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long, extra string")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, "")
+        assert out.columns == docs.columns and out.count() == 0
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, "").count() == 0
