@@ -19,6 +19,18 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def slices(texts: list[str | None], characters: int = 4 << 20) -> Iterator[slice]:
+    """Runs of texts that together hold about so many characters."""
+    start = size = 0
+    for i, text in enumerate(texts):
+        size += len(text or "")
+        if size >= characters:
+            yield slice(start, i + 1)
+            start, size = i + 1, 0
+    if start < len(texts):
+        yield slice(start, len(texts))
+
+
 def bound_batches(spark: SparkSession) -> None:
     """Limit Arrow batches so that very long texts do not pile up in a Python worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))

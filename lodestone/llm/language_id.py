@@ -22,16 +22,18 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import bound_batches, map_batches
+from lodestone.llm.common import bound_batches, map_batches, slices
 
 ORDER = 4
 UNKNOWN = "und"
 MAX_NGRAMS = 1 << 20
 #: A task hands on its counts when it holds so many four-grams.
 FLUSH_AT = 1 << 21
+#: Characters that are worked on at once (a longer text counts as one).
+AT_ONCE = 1 << 20
 #: Probability of a letter that no training text has.
 UNSEEN = 1 / 4096
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -199,7 +201,7 @@ def positions(distinct: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return at
 
 
-def held_out() -> F.Column:
+def held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(True))
 
 
@@ -219,10 +221,12 @@ def four_gram_counts(training: DataFrame) -> DataFrame:
             langs = np.array(batch.column("lang").to_pylist(), object)
             texts = batch.column("text").to_pylist()
             for lang in sorted(set(langs)):
-                keys, n = counted(four_grams([texts[i] for i in np.flatnonzero(langs == lang)])[0])
-                if lang in held:
-                    keys, n = counted(np.concatenate([held[lang][0], keys]), np.concatenate([held[lang][1], n]))
-                held[lang] = (keys, n)
+                mine = [texts[i] for i in np.flatnonzero(langs == lang)]
+                for part in slices(mine, AT_ONCE):
+                    keys, n = counted(four_grams(mine[part])[0])
+                    if lang in held:
+                        keys, n = counted(np.concatenate([held[lang][0], keys]), np.concatenate([held[lang][1], n]))
+                    held[lang] = (keys, n)
             if sum(len(k) for k, _ in held.values()) > FLUSH_AT:
                 yield from rows()
         yield from rows()
@@ -271,7 +275,7 @@ def identify(docs: DataFrame, models: LanguageModels) -> DataFrame:
 
     def one(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = batch.column("text").to_pylist()
-        found = [r for at in range(0, len(texts), 500) for r in shared.value.classify(texts[at : at + 500])]
+        found = [r for part in slices(texts, AT_ONCE) for r in shared.value.classify(texts[part])]
         lang, score, entropy, rejected = zip(*found) if found else ([], [], [], [])
         return pa.RecordBatch.from_arrays(
             [batch.column("doc_id"), batch.column("held_out"), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(entropy, pa.float64()), pa.array(rejected, pa.bool_())],
@@ -293,7 +297,7 @@ def keep_known_language(docs: DataFrame) -> DataFrame:
 
     def one(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = batch.column("text").to_pylist()
-        keep = [not r[3] for at in range(0, len(texts), 500) for r in models.value.classify(texts[at : at + 500])]
+        keep = [not r[3] for part in slices(texts, AT_ONCE) for r in models.value.classify(texts[part])]
         kept = batch.filter(pa.array(keep, pa.bool_()))
         return pa.RecordBatch.from_arrays([kept.column(n) for n in names], names=names)
 
