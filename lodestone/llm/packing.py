@@ -31,21 +31,32 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from lodestone.llm.common import bound_batches
+from lodestone.llm.common import bound_batches, slices
 from lodestone.llm.merging import PairTable, merge_words
 
 WINDOW, END_ID = 2048, 1
 SENTENCE_PENALTY, STRIDE, STRIDE_PENALTY, POWER_PENALTY = 2, 128, 16, 16
 #: Tokens that are planned at once.
 BLOCK = 1 << 19
-REMEMBERED = 400_000
+REMEMBERED = 300_000
 #: The letters, digits and white space among the Latin-1 characters.
 LETTERS, NUMBERS, SPACES = "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼-¾", r"\t-\r \x85\xa0"
 LATIN = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{NUMBERS}]|[^{SPACES}{LETTERS}{NUMBERS}]+")
 WORD_END = "</w>"
+PLAIN_STOPS = frozenset(".,;:!?")
 STOPS = (".", "!", "?", "...", '."', '!"', '?"', ".)")
 
 
+def matches_of(word: bytes) -> list[bytes]:
+    """The pattern's matches in a lower-case Latin-1 word; letters, alone or before one stop, need no pattern."""
+    text = word.decode()
+    if text.isalpha():
+        return [word]
+    if text[-1] in PLAIN_STOPS and text[:-1].isalpha():
+        return [word[:-1], word[-1:]]
+    return [m.encode() for m in LATIN.findall(text)]
+
+
 def byte_letters() -> list[str]:
     """The printable stand-in of each byte in byte-level vocabularies: itself, or the next code point from 256 on."""
     keep = {*range(33, 127), *range(161, 173), *range(174, 256)}
@@ -97,13 +108,13 @@ class WordTokenizer:
                 text.encode("latin-1")
                 words = text.lower().encode().split()
                 plans.append((words, self.latin))
-                new_latin.update(w for w in words if w not in self.latin)
+                new_latin |= set(words).difference(self.latin)
             except UnicodeEncodeError:
                 words = text.encode("utf-8", "surrogatepass").split()
                 plans.append((words, self.other))
-                new_other.update(w for w in words if w not in self.other)
+                new_other |= set(words).difference(self.other)
         order = list(new_latin)
-        matches = [[m.encode() for m in LATIN.findall(w.decode())] for w in order]
+        matches = [matches_of(w) for w in order]
         distinct = list({m for ms in matches for m in ms})
         ids = dict(zip(distinct, self.merge(distinct))) if distinct else {}
         for w, ms in zip(order, matches):
@@ -240,8 +251,8 @@ def pack_documents(docs: DataFrame, vocabulary: str | None = None, window: int =
             texts = [t or "" for t in batch.column("text").to_pylist()]
             ids = batch.column("doc_id").to_pylist()
             pieces: list[tuple] = []
-            for at in range(0, len(texts), 200):
-                for doc_id, found in zip(ids[at : at + 200], words.encode_texts(texts[at : at + 200])):
+            for part in slices(texts):
+                for doc_id, found in zip(ids[part], words.encode_texts(texts[part])):
                     pieces += packer.add(doc_id, np.append(found, np.uint32(END_ID)))
             yield rows(pieces)
         yield rows(packer.flush(True))
