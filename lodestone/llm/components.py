@@ -1,4 +1,4 @@
-"""Connected components of a link table by minimum-label propagation with shortcuts."""
+"""Connected components of a link table by contraction."""
 
 from __future__ import annotations
 
@@ -11,26 +11,29 @@ from lodestone.llm.common import cut
 def components(links: DataFrame) -> DataFrame:
     """``links`` (a long, b long) -> (node long, component long), component the smallest node reachable.
 
-    Every round takes, for each node, the smallest label among its neighbours (a partial aggregate, so a hub
-    costs no more than its share of links) and then follows label to label once. Rounds are logarithmic in the
-    longest path in practice; the loop ends when no label changes. Nothing but that count reaches the driver.
-    Both inputs of every join are checkpointed tables, so adaptive execution can split a hub's partition.
+    In every round each node hooks to its smallest neighbour (a partial aggregate, so a hub costs no more than its
+    share of links) and follows hooks to their end, doubling its reach with every join. Links are then drawn between hooks; those within one
+    hook and repeated ones go, so later rounds work on what is still open only. The smallest node of a component
+    never hooks elsewhere, so it is the one that is left. Both inputs of every join are checkpointed tables, which
+    lets adaptive execution split a hub's partition. Only whether links are left reaches the driver.
     """
-    both = cut(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
-    labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("component")))
-    while True:
-        told = (
-            both.join(labels.withColumnRenamed("node", "a"), "a")
-            .select(F.col("b").alias("node"), "component")
-            .union(labels)
-            .groupBy("node")
-            .agg(F.min("component").alias("component"))
-        )
-        told = cut(told)
-        up = told.select(F.col("node").alias("component"), F.col("component").alias("upper"))
-        jumped = told.join(up, "component", "left").select("node", F.least("component", F.coalesce("upper", "component")).alias("component"))
-        new = cut(jumped)
-        changed = new.join(labels.withColumnRenamed("component", "old"), "node").where("component <> old").limit(1).count()
-        labels = new
-        if not changed:
-            return labels
+    edges = cut(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    labels = None
+    while not edges.isEmpty():
+        both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        hook = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("a"), F.min("b")).alias("up")))
+        settled = False
+        while not settled:
+            above = hook.select(F.col("node").alias("up"), F.col("up").alias("top"))
+            jumped = cut(hook.join(above, "up").select("node", "up", "top"))
+            settled = jumped.where("top <> up").isEmpty()
+            hook = jumped.select("node", F.col("top").alias("up"))
+        if labels is None:
+            labels = hook.select("node", F.col("up").alias("component"))
+        else:
+            moved = hook.withColumnRenamed("node", "component")
+            labels = cut(labels.join(moved, "component", "left").select("node", F.coalesce("up", "component").alias("component")))
+        first, second = hook.select(F.col("node").alias("a"), F.col("up").alias("ua")), hook.select(F.col("node").alias("b"), F.col("up").alias("ub"))
+        open_links = edges.join(first, "a").join(second, "b").where("ua <> ub")
+        edges = cut(open_links.select(F.greatest("ua", "ub").alias("a"), F.least("ua", "ub").alias("b")).distinct())
+    return labels if labels is not None else edges.select(F.col("a").alias("node"), F.col("b").alias("component"))

@@ -245,7 +245,8 @@ def link_fingerprints(classes: DataFrame, masks: list[int], radius: int) -> Data
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
     cells = sized.withColumn("other", other).select("mask_no", "bits", F.least("own", "other").alias("part_a"), F.greatest("own", "other").alias("part_b"), "hi", "lo", "node")
     keys = ["mask_no", "bits", "part_a", "part_b"]
-    return search_shards(cells.repartition(shuffle_width(classes.sparkSession), *keys).sortWithinPartitions(*keys), radius)
+    # in the order of nodes a group's root is its smallest node in the shard, so shards of different masks tell the same links
+    return search_shards(cells.repartition(shuffle_width(classes.sparkSession), *keys).sortWithinPartitions(*keys, "node"), radius)
 
 
 def grouped(prints: DataFrame, masks_for: Callable[[int], list[int]], radius: int) -> DataFrame:
