@@ -27,14 +27,14 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodestone.llm.common import bound_batches, cut, map_batches
 
 WINDOW, GRAM = 50, 12
-REMEMBERED = 300_000
+REMEMBERED = 200_000
 BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
 LOW = np.uint64(0xFFFFFFFF)
 
@@ -130,7 +130,7 @@ def packed_pairs(value: bytes | None) -> np.ndarray:
     return np.frombuffer(value or b"", ">i8").astype(np.int64).reshape(-1, 2)
 
 
-def gather(condition: F.Column, *values: F.Column) -> F.Column:
+def gather(condition: Column, *values: Column) -> Column:
     """The 64-bit values of the rows that meet the condition, as one big-endian byte string."""
     row = F.concat(*(F.unhex(F.lpad(F.hex(v), 16, "0")) for v in values))
     return F.array_join(F.collect_set(F.when(condition, F.hex(row))), "")
