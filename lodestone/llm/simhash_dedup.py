@@ -38,6 +38,7 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.common import bound_batches, cut, map_batches, shuffle_width
 from lodestone.llm.components import components
+from lodestone.llm.similar_sets import similar_sets
 
 SHARD_LIMIT = 2048
 #: Shards are sized for about this many fingerprints each, if these are spread evenly.
@@ -264,14 +265,8 @@ def near_duplicate_groups(docs: DataFrame, shingle: int = 4, radius: int = 4) ->
 
 
 def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(doc_id, component_id) for every row: documents linked whose shingle sets are about as similar as asked, or more.
-
-    Sets of one size with Jaccard similarity s have the cosine 2s/(1+s); the angle's share of a half turn is the
-    expected share of differing bits. The radius is that share of 128 bits plus WIDE_SLACK.
-    """
-    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    radius = round(share * WIDE_BITS) + WIDE_SLACK
-    return grouped(cut(wide_fingerprints(docs, shingle)), lambda n: random_masks(share, n), radius).select("doc_id", "component_id")
+    """(doc_id, component_id) for every row: documents linked whose shingle sets have this Jaccard similarity or more."""
+    return similar_sets(docs, shingle, similarity)
 
 
 def dedup_query(docs: DataFrame) -> DataFrame:

@@ -174,3 +174,34 @@ def test_similar_documents_group_and_others_stay(spark):
     assert sum(got[d] == want[d] for d in copies) >= 0.97 * len(copies)
     assert all(got[d] == d for d in want if want[d] == d)
     assert simhash_dedup.similar_groups(docs(spark, [])).count() == 0
+
+
+def planted(rng, similarity):
+    """Two texts of distinct five-word shingles whose sets have about this Jaccard similarity."""
+    words = [f"w{rng.randint(0, 10**9)}" for _ in range(rng.randint(150, 400))]
+    copy, n = list(words), len(words) - 4
+    changed = round(n * (1 - similarity) / (1 + similarity) / 5)
+    for at in rng.sample(range(5, len(words) - 5, 5), changed):
+        copy[at] = f"x{rng.randint(0, 10**9)}"
+    return " ".join(words), " ".join(copy)
+
+
+def jaccard(a, b):
+    a, b = ({tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in (a, b))
+    return len(a & b) / len(a | b)
+
+
+@pytest.mark.parametrize("cell", [1 << 18, 600])
+def test_only_pairs_of_the_shingle_similarity_link(spark, monkeypatch, cell):
+    from lodestone.llm import similar_sets
+
+    monkeypatch.setattr(similar_sets, "CELL_SHINGLES", cell)
+    rng = random.Random(23)
+    line = " ".join(f"common{i}" for i in range(12))
+    pairs = [planted(rng, rng.uniform(0.6, 0.85)) for _ in range(150)]
+    pairs = [(f"{a} {line}", f"{b} {line}") for a, b in pairs]
+    rows = [(2 * i + c, t) for i, pair in enumerate(pairs) for c, t in enumerate(pair)]
+    got = {r.doc_id: r.component_id for r in simhash_dedup.similar_groups(docs(spark, rows)).collect()}
+    similar = [jaccard(a, b) >= 0.8 for a, b in pairs]
+    assert 15 < sum(similar) < 100
+    assert got == {2 * i + c: 2 * i if c == 0 or similar[i] else 2 * i + 1 for i in range(len(pairs)) for c in (0, 1)}
