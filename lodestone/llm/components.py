@@ -2,10 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import cut
+from lodestone.llm.common import shared_folder
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Cut lineage with a Parquet table: a checkpoint would hand on the size that Catalyst expects of a join, whose digits double in every round."""
+    path = f"{shared_folder(df.sparkSession)}/components-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -14,7 +23,7 @@ def components(links: DataFrame) -> DataFrame:
     In every round each node hooks to its smallest neighbour (a partial aggregate, so a hub costs no more than its
     share of links) and follows hooks to their end, doubling its reach with every join. Links are then drawn between hooks; those within one
     hook and repeated ones go, so later rounds work on what is still open only. The smallest node of a component
-    never hooks elsewhere, so it is the one that is left. Both inputs of every join are checkpointed tables, which
+    never hooks elsewhere, so it is the one that is left. Both inputs of every join are stored tables, which
     lets adaptive execution split a hub's partition. Only whether links are left reaches the driver.
     """
     edges = cut(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())

@@ -5,14 +5,12 @@ where fingerprints differ in at most ``radius`` bits; a group is what links conn
 
 Each distinct fingerprint is one tree entry. Masks of fingerprint bits name shards (the masked bits); a shard holds
 a BK-tree: children keyed by the integer Hamming distance to their parent, a search follows only edges within the
-radius of its own distance. There are two sets of masks:
+radius of its own distance. The 64 bits are cut into radius+m blocks, two fingerprints within the radius agree on m
+whole blocks at least, so all sets of m blocks together miss no pair. m grows with the number of fingerprints, so
+shards stay small; every m is exact.
 
-- a small radius on 64 bits (``near_duplicate_groups``): the bits are cut into radius+m blocks, two fingerprints
-  within the radius agree on m whole blocks at least, so all sets of m blocks together miss no pair. m grows with
-  the number of fingerprints, so shards stay small; every m is exact.
-- a shingle similarity (``similar_groups``): near copies of similarity 0.8 differ in about 15 % of 128 bits, too
-  many for blocks. Random masks of k bits are drawn, as many as let such a pair agree on one of them with the
-  chance ``MASK_RECALL``; k follows the logarithm of the number of fingerprints.
+Groups by shingle similarity (``similar_groups``) are a matter of ``similar_sets``: no radius of fingerprints holds
+all pairs of a similarity and no others.
 
 The trees travel by shuffle, not by broadcast, because all of them together
 grow with the corpus. A shard above ``SHARD_LIMIT`` entries is cut into parts and each pair of parts is a tree of
@@ -25,8 +23,6 @@ a group; an empty table gives no rows; other columns are not read.
 
 from __future__ import annotations
 
-import math
-import random
 from collections.abc import Callable, Iterator
 from itertools import combinations
 
@@ -43,8 +39,6 @@ from lodestone.llm.similar_sets import similar_sets
 SHARD_LIMIT = 2048
 #: Shards are sized for about this many fingerprints each, if these are spread evenly.
 SHARD_AIM = 64
-#: Chance that a pair at the similarity threshold meets in a shard, and bits that the radius adds to the expected distance.
-MASK_RECALL, WIDE_BITS, WIDE_SLACK = 0.97, 128, 5
 
 
 def fingerprint(text: str | None, shingle: int = 4) -> int:
@@ -150,25 +144,6 @@ def wide_fingerprint(text: str | None, shingle: int = 5) -> bytes:
     return np.packbits(votes * 2 > len(h), bitorder="little").tobytes()
 
 
-def wide_fingerprints(docs: DataFrame, shingle: int = 5) -> DataFrame:
-    """(doc_id, hi long, lo long) for every row."""
-
-    def one(batch: pa.RecordBatch) -> pa.RecordBatch:
-        fps = np.frombuffer(b"".join(wide_fingerprint(t, shingle) for t in batch.column("text").to_pylist()), np.int64).reshape(-1, 2)
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps[:, 1].copy()), pa.array(fps[:, 0].copy())], names=["doc_id", "hi", "lo"])
-
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return map_batches(source, one, "doc_id long, hi long, lo long")
-
-
-def random_masks(share: float, count: int, bits: int = 128) -> list[int]:
-    """Masks of which a pair that differs in this share of its bits agrees on one with the chance MASK_RECALL."""
-    k = min(24, max(8, count.bit_length() - 3))
-    tables = math.ceil(math.log(1 - MASK_RECALL) / math.log(1 - (1 - share) ** k))
-    rng = random.Random(bits * 1000 + k)
-    return [sum(1 << b for b in rng.sample(range(bits), k)) for _ in range(tables)]
-
-
 def block_masks(radius: int, count: int) -> list[int]:
     """Masks such that any two fingerprints within the radius agree on one of them."""
     m = 1

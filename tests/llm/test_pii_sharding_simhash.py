@@ -205,3 +205,12 @@ def test_only_pairs_of_the_shingle_similarity_link(spark, monkeypatch, cell):
     similar = [jaccard(a, b) >= 0.8 for a, b in pairs]
     assert 15 < sum(similar) < 100
     assert got == {2 * i + c: 2 * i if c == 0 or similar[i] else 2 * i + 1 for i in range(len(pairs)) for c in (0, 1)}
+
+
+def test_no_pair_at_the_threshold_is_lost(spark):
+    rng = random.Random(29)
+    pairs = [p for p in (planted(rng, rng.uniform(0.8, 0.84)) for _ in range(400)) if 0.8 <= jaccard(*p) < 0.85]
+    assert len(pairs) > 150
+    rows = [(2 * i + c, t) for i, pair in enumerate(pairs) for c, t in enumerate(pair)]
+    got = {r.doc_id: r.component_id for r in simhash_dedup.similar_groups(docs(spark, rows)).collect()}
+    assert got == {d: d - d % 2 for d, _ in rows}
