@@ -1,10 +1,10 @@
 """Language identification with interpolated Kneser-Ney character models.
 
 Text becomes a sequence of lower-case letters with one mark between words; every model is of order four over that
-sequence. Counts come from all training documents: each task counts its own four-grams, Spark sums them, and only
-four-grams per language - not documents - reach the driver, ``max_ngrams`` of the most frequent at most (the bound of
-the broadcast model; rarer ones are cut by a count threshold). Lower orders are continuation counts of the
-four-grams. N-grams are kept in sorted arrays of their 64-bit hashes (an odd multiplication, so no two collide).
+sequence. Counts come from all training documents: each task counts its own four-grams, Spark sums them, and the
+four-grams per language - not documents - reach the driver, all of them: discounts, continuation counts of the lower
+orders and the rejection levels need the rare ones. The model is broadcast whole. N-grams are kept in sorted arrays
+of their 64-bit hashes (an odd multiplication, so no two collide).
 
 The prediction is the language of the lowest cross-entropy per character. A document is rejected when that
 cross-entropy lies beyond the language's own level plus a share of its distance to random letters, with room for
@@ -29,7 +29,6 @@ from lodestone.llm.common import bound_batches, map_batches, slices
 
 ORDER = 4
 UNKNOWN = "und"
-MAX_NGRAMS = 1 << 20
 #: A task hands on its counts when it holds so many four-grams.
 FLUSH_AT = 1 << 21
 #: Characters that are worked on at once (a longer text counts as one).
@@ -234,35 +233,18 @@ def four_gram_counts(training: DataFrame) -> DataFrame:
     return training.mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
-def fit(docs: DataFrame, max_ngrams: int = MAX_NGRAMS) -> LanguageModels:
+def fit(docs: DataFrame) -> LanguageModels:
     """Models of all languages that the training fold names."""
     training = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    counts = four_gram_counts(training).persist()
-    try:
-        sizes = counts.groupBy("lang", F.least("n", F.lit(1000)).alias("least")).agg(F.count("*").alias("kinds")).collect()
-        lowest: dict[str, int] = {}
-        for lang in {r["lang"] for r in sizes}:
-            kept = 0
-            lowest[lang] = 1
-            for r in sorted((r for r in sizes if r["lang"] == lang), key=lambda r: -r["least"]):
-                kept += r["kinds"]
-                if kept > max_ngrams:
-                    lowest[lang] = r["least"] + 1
-                    break
-        kept_rows = counts
-        if any(n > 1 for n in lowest.values()):
-            low = F.create_map(*(x for lang, n in lowest.items() for x in (F.lit(lang), F.lit(n))))
-            kept_rows = counts.where(F.col("n") >= low[F.col("lang")])
-        table = kept_rows.toArrow()
-    finally:
-        counts.unpersist()
-    lang = np.array(table.column("lang").to_pylist(), object)
+    table = four_gram_counts(training).toArrow()
+    codes = table.column("lang").dictionary_encode().combine_chunks()
+    names, lang = codes.dictionary.to_pylist(), codes.indices.to_numpy()
     gram = table.column("gram").to_numpy().view(np.uint64)
     n = table.column("n").to_numpy()
-    languages = sorted(set(lang))
+    languages = sorted(names)
     models = []
     for one in languages:
-        mine = np.flatnonzero(lang == one)
+        mine = np.flatnonzero(lang == names.index(one))
         order = mine[np.argsort(gram[mine])]
         if len(order):
             models.append(KneserNey.fit(gram[order], n[order]))

@@ -212,3 +212,12 @@ def test_kneser_ney_sums_to_one():
     total = model.probability(context | np.arange(1 << 16, dtype=np.uint64)).sum()
     seen = np.unique(keys & np.uint64(0xFFFF))
     assert 0.9 < model.probability(context | seen).sum() <= 1.0 + 1e-9 and total > 0
+
+
+def test_language_model_keeps_every_four_gram(spark):
+    letters = np.random.default_rng(5).integers(0x4E00, 0x9F00, (700, 2000)).astype("<u2")
+    rows = [(i, row.tobytes().decode("utf-16-le"), "zh") for i, row in enumerate(letters)]
+    trained = [t for i, t, _ in rows if zlib.crc32(str(i).encode()) % 5]
+    distinct = len(np.unique(language_id.four_grams(trained)[0]))
+    (model,) = language_id.fit(docs(spark, rows)).models
+    assert distinct > 1 << 20 and len(model.grams[4].hashes) == distinct
