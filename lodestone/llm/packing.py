@@ -1,15 +1,16 @@
 """Order-preserving packing of documents into fixed windows by dynamic programming.
 
 Each input partition is a stream of tokens in its row order. Possible cuts are document ends (free), sentence
-ends (a small penalty) and, in long stretches without either, any step of ``STRIDE`` tokens (a larger one). The
-cost of a sequence is its padding plus the penalty of the cut that ends it; the cheapest chain of cuts with at most
-``window`` tokens between neighbours is found with a monotone queue, in time linear in the cuts. The stream goes
-block by block: the last sequence of a block is carried into the next one, so memory does not follow the
-partition's size. What remains at a partition's end is cut into power-of-two lengths, which need no padding, when
-that costs less than padding it.
-
-Null or empty text is a document of one token (the end id); repeated rows are packed as often as they occur; an
-empty table gives no rows. Sequence ids are the partition's number in the upper bits and a counter in the lower.
+ends (a penalty for the cut text) and, only in stretches of more than ``STRIDE`` tokens without either, every
+``STRIDE`` tokens (a larger penalty). The cost of a sequence is its padding plus the penalty of the cut that ends it;
+the cheapest chain of cuts with at most ``window`` tokens between neighbours is found with a monotone queue, in time
+linear in the cuts. The stream goes block by block: the last sequence of a block is carried into the next one, so
+memory does not follow the partition's size. A partition's last sequence is padded like any other.
+
+Null or empty text is a document of one token (the end id); a null doc_id is kept as it is; repeated rows are packed as
+often as they occur; an empty table gives no rows; other columns are not read. Cuts and sequence ids follow the input
+partitions: the same table split otherwise is packed otherwise, each packing whole and in order. Sequence ids are the
+partition's number in the upper bits and a counter in the lower.
 """
 
 from __future__ import annotations
@@ -26,37 +27,32 @@ from functools import lru_cache
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from lodestone.llm.common import bound_batches, slices
+from lodestone.llm.common import bound_batches
 from lodestone.llm.merging import PairTable, merge_words
 
 WINDOW, END_ID = 2048, 1
-SENTENCE_PENALTY, STRIDE, STRIDE_PENALTY, POWER_PENALTY = 2, 128, 16, 16
+#: What a cut costs, in tokens of padding: at a sentence end, and at neither document nor sentence end.
+SENTENCE_PENALTY, STRIDE, STRIDE_PENALTY = 16, 128, 64
 #: Tokens that are planned at once.
 BLOCK = 1 << 19
-REMEMBERED = 300_000
+#: Words and ids that a worker remembers before it starts anew.
+REMEMBERED, REMEMBERED_IDS = 400_000, 1 << 22
 #: The letters, digits and white space among the Latin-1 characters.
 LETTERS, NUMBERS, SPACES = "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼-¾", r"\t-\r \x85\xa0"
-LATIN = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{NUMBERS}]|[^{SPACES}{LETTERS}{NUMBERS}]+")
+#: The vocabulary's matches in lower-case Latin-1 words, and the line ends between these.
+LATIN = re.compile(rf"\n|'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{NUMBERS}]|[^{SPACES}{LETTERS}{NUMBERS}]+")
+#: Words that only the library reads: with characters beyond Latin-1, or with what starts a special token's string.
+LIBRARY_ONLY = r"[^\x{00}-\x{ff}]|<\|"
 WORD_END = "</w>"
-PLAIN_STOPS = frozenset(".,;:!?")
 STOPS = (".", "!", "?", "...", '."', '!"', '?"', ".)")
 
 
-def matches_of(word: bytes) -> list[bytes]:
-    """The pattern's matches in a lower-case Latin-1 word; letters, alone or before one stop, need no pattern."""
-    text = word.decode()
-    if text.isalpha():
-        return [word]
-    if text[-1] in PLAIN_STOPS and text[:-1].isalpha():
-        return [word[:-1], word[-1:]]
-    return [m.encode() for m in LATIN.findall(text)]
-
-
 def byte_letters() -> list[str]:
     """The printable stand-in of each byte in byte-level vocabularies: itself, or the next code point from 256 on."""
     keep = {*range(33, 127), *range(161, 173), *range(174, 256)}
@@ -64,12 +60,49 @@ def byte_letters() -> list[str]:
     return [chr(b if b in keep else next(spare)) for b in range(256)]
 
 
+def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The places starts[i] .. starts[i] + lengths[i] - 1 of every i, one run after the other."""
+    ends = np.cumsum(lengths)
+    return np.repeat(starts - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)
+
+
+class Rows:
+    """Rows of 32-bit ids by key, in growing arrays."""
+
+    def __init__(self) -> None:
+        self.row: dict[str, int] = {}
+        self.starts, self.lengths = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
+        self.ids = np.zeros(1 << 16, np.uint32)
+        self.size = 0
+
+    def add(self, keys: list[str], ids: np.ndarray, lengths: np.ndarray) -> None:
+        """Rows of new keys, their ids concatenated."""
+        n, size = len(self.row), self.size + len(ids)
+        if n + len(keys) > len(self.starts):
+            more = 2 * (n + len(keys))
+            self.starts, self.lengths = np.resize(self.starts, more), np.resize(self.lengths, more)
+        if size > len(self.ids):
+            self.ids = np.resize(self.ids, 2 * size)
+        self.row.update(zip(keys, range(n, n + len(keys))))
+        self.lengths[n : n + len(keys)] = lengths
+        self.starts[n : n + len(keys)] = self.size + np.cumsum(lengths) - lengths
+        self.ids[self.size : size] = ids
+        self.size = size
+
+    def places(self, keys: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.row.__getitem__, keys), np.int64, len(keys))
+
+    def take(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the rows at ``places``, concatenated, and each row's number of ids."""
+        lengths = self.lengths[places]
+        return self.ids[ragged(self.starts[places], lengths)], lengths
+
+
 class WordTokenizer:
     """Ids of the word-level BPE vocabulary: the library for any word, lockstep merges for Latin-1 words."""
 
     def __init__(self, path: str):
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
         with open(path, encoding="utf-8") as f:
             model = json.load(f)["model"]
         vocab = model["vocab"]
@@ -81,51 +114,59 @@ class WordTokenizer:
         self.inner = np.array([vocab[c] for c in letters], np.int64)
         self.final = np.array([vocab[c + WORD_END] for c in letters], np.int64)
         stops = [s + WORD_END for s in STOPS]
-        self.stops = np.zeros(max(vocab.values()) + 3, bool)
+        self.stops = np.zeros(self.library.get_vocab_size() + 1, bool)
         self.stops[[vocab[s] for s in stops if s in vocab]] = True
-        self.latin: dict[bytes, bytes] = {}
-        self.other: dict[bytes, bytes] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        self.words, self.matches = Rows(), Rows()
 
-    def merge(self, pieces: list[bytes]) -> list[bytes]:
-        """Ids of each piece as little-endian 32-bit numbers."""
-        lengths = np.array([len(p) for p in pieces], np.int64)
-        data = np.frombuffer(b"".join(pieces), np.uint8)
+    def merge(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all matches, concatenated, and each one's number of ids; a line end has none."""
+        raw = [b"" if p == "\n" else p.encode() for p in pieces]
+        lengths = np.fromiter(map(len, raw), np.int64, len(raw))
+        data = np.frombuffer(b"".join(raw), np.uint8)
         symbols = self.inner[data]
-        last = np.cumsum(lengths) - 1
+        last = (np.cumsum(lengths) - 1)[lengths > 0]
         symbols[last] = self.final[data[last]]
         flat, n = merge_words(symbols, lengths, self.table)
-        raw = flat.astype("<u4").tobytes()
-        ends = (np.cumsum(n) * 4).tolist()
-        return [raw[a:b] for a, b in zip([0, *ends], ends)]
-
-    def encode_texts(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of each text. White space bounds every match, so words are encoded apart and remembered."""
-        plans = []
-        new_latin: set[bytes] = set()
-        new_other: set[bytes] = set()
-        for text in texts:
-            try:
-                text.encode("latin-1")
-                words = text.lower().encode().split()
-                plans.append((words, self.latin))
-                new_latin |= set(words).difference(self.latin)
-            except UnicodeEncodeError:
-                words = text.encode("utf-8", "surrogatepass").split()
-                plans.append((words, self.other))
-                new_other |= set(words).difference(self.other)
-        order = list(new_latin)
-        matches = [matches_of(w) for w in order]
-        distinct = list({m for ms in matches for m in ms})
-        ids = dict(zip(distinct, self.merge(distinct))) if distinct else {}
-        for w, ms in zip(order, matches):
-            self.latin[w] = b"".join([ids[m] for m in ms])
-        for w in new_other:
-            self.other[w] = np.array(self.library.encode(w.decode("utf-8", "surrogatepass"), add_special_tokens=False).ids, "<u4").tobytes()
-        out = [np.frombuffer(b"".join(map(known.__getitem__, words)), "<u4") for words, known in plans]
-        for known in (self.latin, self.other):
-            if len(known) > REMEMBERED:
-                known.clear()
-        return out
+        return flat.astype(np.uint32), n
+
+    def learn(self, words: list[str]) -> None:
+        """Remember the ids of new words."""
+        odd = pc.match_substring_regex(pa.array(words, pa.string()), LIBRARY_ONLY).to_numpy(zero_copy_only=False)
+        for i in np.flatnonzero(odd).tolist():
+            ids = np.array(self.library.encode(words[i], add_special_tokens=False).ids, np.uint32)
+            self.words.add([words[i]], ids, np.array([len(ids)]))
+        latin = [w for w, o in zip(words, odd.tolist()) if not o]
+        if not latin:
+            return
+        found = LATIN.findall("\n".join(latin).lower() + "\n")
+        distinct = [m for m in dict.fromkeys(found) if m not in self.matches.row]
+        if distinct:
+            self.matches.add(distinct, *self.merge(distinct))
+        places = self.matches.places(found)
+        ids, lengths = self.matches.take(places)
+        ends = np.flatnonzero(places == self.matches.row["\n"])
+        totals = np.cumsum(lengths)[ends]
+        self.words.add(latin, ids, np.diff(totals, prepend=0))
+
+    def encode_texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, concatenated, and each text's number of ids.
+
+        White space bounds every match, so words are encoded apart and remembered.
+        """
+        if len(self.words.row) > REMEMBERED or self.words.size + self.matches.size > REMEMBERED_IDS:
+            self.forget()
+        split = pc.ascii_split_whitespace(texts)
+        coded = split.flatten().dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
+        self.learn([w for w in distinct if w not in self.words.row])
+        words = np.diff(split.offsets.to_numpy())
+        ids, lengths = self.words.take(self.words.places(distinct)[coded.indices.to_numpy()])
+        run = np.concatenate([[0], np.cumsum(lengths)])
+        ends = np.cumsum(words)
+        return ids, run[ends] - run[ends - words]
 
 
 @lru_cache(maxsize=1)
@@ -138,7 +179,7 @@ def cheapest_cuts(places: list[int], penalties: list[int], window: int) -> list[
 
     Neighbouring places are at most ``window`` apart. f(j) = penalty(j) + window - place(j) + min over places i
     within the window of f(i) + place(i); the queue holds the i that can still be a minimum, best first. The last
-    sequence is carried on or cut into powers of two, so its padding is not counted.
+    sequence is carried on or ends the stream, so its padding is not counted.
     """
     cost = [0] * len(places)
     before = [0] * len(places)
@@ -164,12 +205,18 @@ def cheapest_cuts(places: list[int], penalties: list[int], window: int) -> list[
     return cuts[::-1]
 
 
-def powers(n: int, window: int) -> list[int]:
-    """Lengths into which a remainder of n tokens is cut: itself, or powers of two where that beats padding."""
-    if n & (n - 1) == 0 or n == window:
-        return [n]
-    parts = [1 << b for b in range(n.bit_length() - 1, -1, -1) if n >> b & 1]
-    return parts if POWER_PENALTY * (len(parts) - 1) < window - n else [n]
+def cut_places(tokens: np.ndarray, ends: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where a stream may be cut, and what each cut costs."""
+    price = np.full(len(tokens) + 1, -1, np.int64)
+    price[1:][stops[tokens]] = SENTENCE_PENALTY
+    price[ends] = 0
+    price[0] = 0
+    natural = np.flatnonzero(price >= 0)
+    steps = (np.diff(natural) - 1) // STRIDE
+    inner = natural[:-1].repeat(steps) + STRIDE * (1 + ragged(np.zeros(len(steps), np.int64), steps))
+    price[inner] = STRIDE_PENALTY
+    places = np.flatnonzero(price >= 0)
+    return places, price[places]
 
 
 @dataclass
@@ -201,20 +248,11 @@ class Packer:
         tokens = np.concatenate([f.ids for f in self.held])
         ends = np.cumsum([len(f.ids) for f in self.held])
         total = int(ends[-1])
-        price = np.full(total + 1, -1, np.int64)
-        price[::STRIDE] = STRIDE_PENALTY
-        price[1:][self.stops[tokens]] = SENTENCE_PENALTY
-        price[ends] = 0
-        price[0] = 0
-        places = np.flatnonzero(price >= 0)
-        cuts = cheapest_cuts(places.tolist(), price[places].tolist(), self.window)
-        if last:
-            start = cuts[-2] if len(cuts) > 1 else 0
-            cuts = cuts[:-1] + (start + np.cumsum(powers(total - start, self.window))).tolist()
-            until = total
-        else:
+        places, price = cut_places(tokens, ends, self.stops)
+        cuts = cheapest_cuts(places.tolist(), price.tolist(), self.window)
+        if not last:
             cuts = cuts[:-1]
-            until = cuts[-1] if cuts else 0
+        until = cuts[-1] if cuts else 0
         pieces = []
         if until:
             bounds = np.unique(np.concatenate([[0], cuts, ends[ends < until]]))
@@ -247,13 +285,14 @@ def pack_documents(docs: DataFrame, vocabulary: str | None = None, window: int =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = tokenizer(vocabulary or public_tokenizers.path("word_bpe_49k.json"))
         packer = Packer(TaskContext.get().partitionId(), words.stops, window)
+        end = np.array([END_ID], np.uint32)
         for batch in batches:
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            ids = batch.column("doc_id").to_pylist()
+            tokens, lengths = words.encode_texts(pc.fill_null(batch.column("text"), ""))
             pieces: list[tuple] = []
-            for part in slices(texts):
-                for doc_id, found in zip(ids[part], words.encode_texts(texts[part])):
-                    pieces += packer.add(doc_id, np.append(found, np.uint32(END_ID)))
+            start = 0
+            for doc_id, n in zip(batch.column("doc_id").to_pylist(), lengths.tolist()):
+                pieces += packer.add(doc_id, np.concatenate([tokens[start : start + n], end]))
+                start += n
             yield rows(pieces)
         yield rows(packer.flush(True))
 

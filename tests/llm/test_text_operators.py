@@ -4,6 +4,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 import tiktoken
@@ -48,17 +49,20 @@ def test_long_and_lockstep_merges_agree():
 def test_word_ids_equal_the_library():
     w = packing.tokenizer(public_tokenizers.path("word_bpe_49k.json"))
     library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    library.encode_special_tokens = True
-    texts = odd_texts(1500, 6) + ["", "é" * 900]
-    for text, ids in zip(texts, w.encode_texts(texts)):
-        assert ids.tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
+    texts = odd_texts(1500, 6) + ["", "é" * 900, "a<|endoftext|>b <|startoftext|> x", "<|ENDOFTEXT|> <|end oftext|> İ<|endoftext|>Σ", "Ça <|endoftext|>", " lead and trail "]
+    rng = random.Random(11)
+    texts += [t.replace("é", "<|endoftext|>") for t in odd_texts(300, 12)] + [" ".join(rng.choice(["the", "The", "cat.", "naïve", "<|startoftext|>"]) for _ in range(40)) for _ in range(50)]
+    for _ in range(2):  # unknown words, then remembered ones
+        flat, lengths = w.encode_texts(pa.array(texts))
+        for text, ids in zip(texts, np.split(flat, np.cumsum(lengths)[:-1])):
+            assert ids.tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
 
 
 def test_packing_is_an_exact_partition(spark):
     library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     rng = random.Random(2)
     rows = [(i, " ".join(rng.choice(["the", "cat", "runs.", "over", "it!"]) for _ in range(rng.randint(0, 900)))) for i in range(150)]
-    rows += [(500, None), (501, ""), (502, "no stop " * 4000)]
+    rows += [(500, None), (501, ""), (502, "no stop " * 4000), (503, "odd <|endoftext|> text. " * 30), (None, "without an id")]
     got = packing.pack_documents(docs(spark, rows)).collect()
     sequences, documents = {}, {}
     for r in got:
@@ -74,18 +78,38 @@ def test_packing_is_an_exact_partition(spark):
             at += r.length
         assert at == len(ids)
     padding = total = 0
-    for pieces in sequences.values():
+    last = {s for s in sequences if s + 1 not in sequences}  # a stream's last sequence holds what is left
+    for sequence, pieces in sequences.items():
         at = 0
         for r in sorted(pieces, key=lambda r: r.offset):
             assert r.offset == at
             at += r.length
         assert at <= 2048
         total += at
-        padding += 0 if at & (at - 1) == 0 else 2048 - at
+        padding += 0 if sequence in last else 2048 - at
     assert padding < 0.01 * total
     assert packing.pack_documents(docs(spark, [])).count() == 0
 
 
+def test_cuts_lie_at_sentence_or_document_ends_where_there_are_any():
+    rng = random.Random(4)
+    stops = np.zeros(10, bool)
+    stops[7] = True
+    lengths = [rng.randint(1, 400) for _ in range(300)]
+    tokens = np.array([7 if rng.random() < 0.05 else 2 for _ in range(sum(lengths))])
+    ends = np.cumsum(lengths)
+    places, price = packing.cut_places(tokens, ends, stops)
+    natural = {0, *ends.tolist(), *(np.flatnonzero(tokens == 7) + 1).tolist()}
+    known = sorted(natural)
+    assert natural <= set(places.tolist()) and np.diff(places).max() <= packing.STRIDE
+    for at, cost in zip(places.tolist(), price.tolist()):
+        assert (cost == packing.STRIDE_PENALTY) == (at not in natural)
+        if at not in natural:  # only in long stretches
+            i = np.searchsorted(known, at)
+            assert known[i] - known[i - 1] > packing.STRIDE
+    assert all(p == 0 for a, p in zip(places, price) if a in set(ends.tolist()))
+
+
 def test_cheapest_cuts_against_all_choices():
     rng = random.Random(8)
     for _ in range(200):
