@@ -5,6 +5,11 @@ punctuation gives a signed cost, which becomes the block's capacity to the sourc
 (boilerplate). Neighbours in page order and neighbours under the same parent are joined by smoothness edges. The
 minimum cut - found by blocking flows - labels the blocks; content blocks are joined in page order.
 
+Markup is read in linear time: attribute values are quoted only after an equals sign; scripts, styles, titles and text
+areas run to their end tag or the end of the page; other elements without readable text (drawings, menus, media) are
+skipped when they have an end tag, else only their start tag is. A tag that never ends, or a quote that is never
+closed, makes the reader go on without quotes: each later tag ends at its first ``>``.
+
 Null or empty html gives the empty text; broken markup (open tags, missing ends) is read as far as it goes; rows are
 independent, so repeated rows and other columns do not matter; an empty table gives no rows.
 """
@@ -13,8 +18,10 @@ from __future__ import annotations
 
 import html
 import re
-from collections import deque
+from collections import Counter, deque
+from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -22,14 +29,15 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.common import map_batches
 
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*>"
-    r"|<(script|style|noscript|template|svg|iframe|object|textarea|select|title|canvas|math|audio|video)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
-    re.S | re.I,
-)
+#: A start or end tag with HTML's rules for quotes; no part is ever read twice.
+TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[^=>]++|=\s*+(?:"[^"]*+"|'[^']*+'|(?!["'])[^\s>]*+))*+)>""")
+BARE_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
+#: Elements whose content is no markup, and elements whose content is no text of the page.
+RAW = frozenset("script style title textarea".split())
+SKIPPED = frozenset("svg iframe object select canvas audio video noscript template".split())
+STOP_MARK = re.compile(r"[.!?](?:\s|$)")
 ATTRIBUTE = re.compile(r"([a-zA-Z_:-]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE = frozenset("a abbr acronym annotation b bdi bdo big cite code data del dfn em font i ins kbd label mark math mfrac mi mn mo mrow msqrt msub msup mtext q semantics s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that a new element of the same kind closes.
 SIBLINGS = {"li": {"li"}, "p": {"p"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -42,13 +50,13 @@ AWAY_WORDS = frozenset(
     "comment comments commentlist discussion disqus replies reply respond sidebar rail nav navbar navigation menu menus breadcrumb breadcrumbs footer header masthead toolbar topbar "
     "share sharing social follow newsletter subscribe subscription signup login related recommended recommendations trending widget widgets pagination pager skip search banner tags copyright legal disclaimer".split()
 )
-SOFT_WORDS = frozenset("header sidebar widget notice tags banner search".split())
+SOFT_WORDS = frozenset("alert header sidebar widget notice tags banner search".split())
 HOME_WORDS = frozenset("article content main body post entry story text prose maintext".split())
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 #: Weights of the block classifier.
-BIAS, IN_ARTICLE, HOME, TEXT_TAG, PER_TEN_WORDS, STOP, LINKS, AWAY_COST, HEADER_COST = -1.0, 3.0, 1.5, 1.0, 1.0, 0.5, -5.0, -30.0, -8.0
+BIAS, IN_ARTICLE, HOME, TEXT_TAG, PER_TEN_WORDS, STOP, LINKS, AWAY_COST, HEADER_COST = -1.0, 3.0, 1.5, 1.0, 1.0, 0.5, -5.0, -16.0, -8.0
 #: Smoothness between blocks that follow each other, and that do so under one parent.
-NEXT, SAME_PARENT = 0.4, 0.8
+NEXT, SAME_PARENT = 0.6, 1.2
 
 
 @dataclass
@@ -89,6 +97,58 @@ def element_cost(tag: str, attributes: str, in_article: bool) -> float:
     return cost
 
 
+def spans_of(page: str, tag: str) -> dict[int, int]:
+    """Where each element of this name that has an end tag starts, and where it ends."""
+    out, opened = {}, []
+    for m in re.finditer(rf"<(/?){tag}(?=[\s/>])[^>]*+>", page, re.I):
+        if not m[1]:
+            opened.append(m.start())
+        elif opened:
+            out[opened.pop()] = m.end()
+    return out
+
+
+def tokens(page: str) -> Iterator[tuple[str, tuple[str, str, str] | str | None]]:
+    """The text before each token, and the token: (slash, name, attributes) of a tag, a blank for a raw element, or nothing."""
+    at = start = 0  # what is read; what is handed out
+    tag_of = TAG
+    known: dict[str, dict[int, int]] = {}
+    while (at := page.find("<", at)) >= 0:
+        follows = page[at + 1 : at + 3]
+        if follows[:1] in ("!", "?"):
+            comment = page.startswith("<!--", at)
+            end = page.find("-->" if comment else ">", at + (4 if comment else 2))
+            yield page[start:at], None
+            at = start = len(page) if end < 0 else end + (3 if comment else 1)
+            continue
+        if not (follows[:1].isascii() and follows[:1].isalpha()) and not (follows[:1] == "/" and follows[1:].isascii() and follows[1:].isalpha()):
+            at += 1
+            continue
+        m = tag_of.match(page, at)
+        if m is None and tag_of is TAG:
+            tag_of = BARE_TAG
+            m = tag_of.match(page, at)
+        if m is None:  # a tag that the page's end cuts off
+            yield page[start:at], None
+            start = len(page)
+            break
+        yield page[start:at], None
+        tag, end = m[2].lower(), m.end()
+        if tag in RAW and not m[1]:
+            close = re.compile(rf"</{tag}(?=[\s/>])[^>]*+>", re.I).search(page, end)
+            yield "", " "
+            at = start = close.end() if close else len(page)
+            continue
+        if tag in SKIPPED:
+            if tag not in known:
+                known[tag] = spans_of(page, tag)
+            at = start = known[tag].get(at, end)
+            continue
+        yield "", (m[1], tag, m[3])
+        at = start = end
+    yield page[start:], None
+
+
 def blocks_of(page: str) -> list[Block]:
     """The page's text blocks in order, each with its classifier score and parent element."""
     stack: list[Element] = [Element("", 0.0, False, 0)]
@@ -97,6 +157,11 @@ def blocks_of(page: str) -> list[Block]:
     linked = 0
     links = 0  # open <a> elements
     made = 0
+    opened: Counter[str] = Counter()
+
+    def pop() -> Element:
+        opened[stack[-1].tag] -= 1
+        return stack.pop()
 
     def close() -> None:
         nonlocal linked
@@ -111,7 +176,7 @@ def blocks_of(page: str) -> list[Block]:
         top = stack[-1]
         words = text.count(" ") + 1
         s = BIAS + top.cost + min(words, 60) / 10 * PER_TEN_WORDS * (1 - link_share) + LINKS * link_share
-        s += STOP * min(3, len(re.findall(r"[.!?](?:\s|$)", text[:400])))
+        s += STOP * sum(1 for _ in islice(STOP_MARK.finditer(text), 3))
         if top.tag == "p" or top.tag in HEADINGS or top.tag in ("blockquote", "pre"):
             s += TEXT_TAG
         return s + (IN_ARTICLE if top.article else 0.0)
@@ -123,44 +188,39 @@ def blocks_of(page: str) -> list[Block]:
             if links:
                 linked += len(text.strip())
 
-    at = 0
-    for m in TOKEN.finditer(page):
-        add(page[at : m.start()])
-        at = m.end()
-        tag = m[3]
-        if tag is None:
-            if m[1] and m[1].lower() not in ("svg", "math"):
-                parts.append(" ")
+    for text, m in tokens(page):
+        add(text)
+        if m is None:
             continue
-        tag = tag.lower()
+        if m == " ":
+            parts.append(" ")
+            continue
+        ending, tag, attributes = m
         if tag in INLINE:
             if tag == "a":
-                links = max(0, links + (-1 if m[2] else 1))
+                links = max(0, links + (-1 if ending else 1))
             continue
         if tag == "br":
             parts.append(" ")
             continue
         close()
-        if m[2]:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag:
-                    del stack[k:]
-                    links = 0
-                    break
+        if ending:
+            if opened[tag]:
+                links = 0
+                while pop().tag != tag:
+                    pass
             continue
         if tag in VOID:
             continue
         if tag in CLOSES_P and stack[-1].tag == "p":
-            stack.pop()
+            pop()
         if stack[-1].tag in SIBLINGS.get(tag, ()):
-            stack.pop()
+            pop()
         top = stack[-1]
         article = top.article or tag in ("article", "main")
         made += 1
-        stack.append(Element(tag, top.cost + element_cost(tag, m[4], top.article), article, made if tag not in ("p", "li") and tag not in HEADINGS else top.number))
-    rest = page[at:]
-    cut_tag = re.search(r"<[a-zA-Z/!][^<>]*$", rest)
-    add(rest[: cut_tag.start()] if cut_tag else rest)
+        opened[tag] += 1
+        stack.append(Element(tag, top.cost + element_cost(tag, attributes, top.article), article, made if tag not in ("p", "li") and tag not in HEADINGS else top.number))
     close()
     return out
 

@@ -88,3 +88,52 @@ def test_pages(spark):
     assert (1, "u", want, len(want)) in got and {(2, None, "", 0), (3, "v", "", 0), (None, "w", "", 0)} <= got
     assert {n for i, _, _, n in got if i == 5} == {50_000 * 16 - 1}
     assert html_text.extract_pages(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+ARTICLE = "<article><p>First words stand here. They are text.</p>%s<p>Second words follow here. They are text too.</p></article>"
+AROUND = ["First words stand here. They are text.", "Second words follow here. They are text too."]
+
+
+@pytest.mark.parametrize(
+    "odd, inside",
+    [
+        ('<svg class="i"/>', ""), ("<object>", ""), ("<video controls>", ""), ("<select>", ""), ("<iframe src=x>", ""), ("<svg><text>no</text></svg>", ""), ("<noscript>no</noscript>", ""),
+        ("<object><object>no</object>nor this</object>", ""), ("<p>Let <math><mi>x</mi></math> be a number here.</p>", "Let x be a number here."), ("<script>var a = '<p>no</p>';</script>", ""),
+        ("<p data-x=don't>An odd value stands here. It is text.</p>", "An odd value stands here. It is text."), ('<p class="x>An open quote stands here. It is text.</p>', "An open quote stands here. It is text."),
+        ('<div class="alert-story"><p>A story about an alert. It is text.</p></div>', "A story about an alert. It is text."), ("<!-- <p>no</p> -->", ""), ("<p>a < b and c > d hold here. So it is.</p>", "a < b and c > d hold here. So it is."),
+        ("<p>" + "Long line without any stop " * 30 + "ends here. It does. It does.</p>", "Long line without any stop " * 30 + "ends here. It does. It does."), ("<aside><p>Read this too. It is fine.</p></aside>", ""),
+    ],
+)
+def test_odd_markup(odd, inside):
+    assert html_text.main_text(ARTICLE % odd) == " ".join([AROUND[0], *([inside] if inside else []), AROUND[1]])
+
+
+@pytest.mark.parametrize("bad", ["<a ", '<a b="', "<!--", "<object>", "<a b='x' ", "<a b=\"<a b='", "<script>", "<svg></svg", '<p class="a>', "<div>", "</p><div>", "<b", "&amp"])
+def test_broken_tags_take_linear_time(bad):
+    import time
+
+    start = time.process_time()
+    html_text.main_text(bad * (1_000_000 // len(bad)))
+    assert time.process_time() - start < 8
+
+
+def test_generated_pages_against_the_planted_text():
+    """The text that a page was made from is the answer; boilerplate of every kind the contract names stands around and within it."""
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choice("abcdefghilmnorstu") for _ in range(rng.randint(2, 9)))
+    sentence = lambda: " ".join([word().title(), *(word() for _ in range(rng.randint(4, 14)))]) + rng.choice([". ", "! ", "? "])
+    text = lambda: "".join(sentence() for _ in range(rng.randint(1, 6))).strip()
+    escaped = lambda t: t.replace("a", "&#97;", 1).replace("e", "&#x65;", 1)
+    wrong = 0
+    for _ in range(400):
+        paragraphs = [text() for _ in range(rng.randint(2, 9))]
+        away = [
+            lambda: f"<nav><ul>{''.join(f'<li><a href=/{word()}>{word()}</a></li>' for _ in range(5))}</ul></nav>", lambda: f'<div class="ad">{text()}</div>', lambda: f'<div id="sidebar"><p>{text()}</p></div>',
+            lambda: f'<div class="cookie-notice">{text()}</div>', lambda: f"<form><p>{text()}</p><input name=q></form>", lambda: f"<script>{text()}</script>", lambda: f"<style>{word()}{{}}</style>", lambda: f"<!-- {text()} -->",
+        ]
+        noise = lambda: rng.choice(away)() if rng.random() < 0.5 else ""  # noqa: B023, E731
+        inner = "".join(f"<p>{escaped(p).replace(' ', rng.choice([' ', '  ', chr(10)]), 1)}{rng.choice(['</p>', '</p>', ''])}{noise()}" for p in paragraphs)
+        comments = f'<section class="comments">{"".join(f"<div class=comment><p>{text()}</p></div>" for _ in range(3))}</section>'
+        page = f"<html><head><title>{text()}</title></head><body><header>{text()}</header>{noise()}{noise()}<article><h1>{escaped(paragraphs[0])}</h1>{inner}</article>{comments}{noise()}<footer>{text()}</footer></body></html>"
+        wrong += html_text.main_text(page) != " ".join([paragraphs[0], *paragraphs])
+    assert wrong == 0
