@@ -1,12 +1,18 @@
 """Personal data by anchor expansion.
 
-An Aho-Corasick automaton walks each text once and reports anchors: at-signs, schemes, identifier cues, a plus
-before a digit, and pairs of a digit with a digit, dot, blank or hyphen. A deterministic parser per kind grows
+An Aho-Corasick automaton walks each text once and reports anchors: at-signs, schemes, identifier and street cues, a
+plus before a digit, and pairs of a digit with a digit, dot, blank or hyphen. A deterministic parser per kind grows
 each anchor to the full address or number and validates it. Kinds in order: ``email ip card phone`` (the base
-kinds), then ``contact`` (mailto:/tel: targets and credentials in a URL) and ``account`` (an identifier after a
-cue such as ``IBAN``, ``SSN`` or ``account no``). The added kinds never change the base spans.
+kinds), then ``contact`` (mailto:/tel: targets and credentials in a URL), ``account`` (an identifier after a cue) and
+``address`` (house number and street, or a post box, with the town and postal code that follow). The added kinds
+never change the base spans.
 
-Null text counts as empty; rows are independent, so duplicates, ties and other columns do not matter.
+What validates an account depends on its cue: an IBAN has the remainder 1 modulo 97, a routing number its weighted
+checksum, a social security number no reserved part; account numbers have 6 to 17 digits that are not all the same, and
+one written like an IBAN must be one; a passport number has 6 to 9 letters and digits, five digits at least.
+
+Null text counts as empty; a null doc_id is returned as it is; rows are independent, so duplicates, ties and other
+columns do not matter; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -22,13 +28,15 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.common import map_batches
 
-KINDS = ("email", "ip", "card", "phone", "contact", "account")
+KINDS = ("email", "ip", "card", "phone", "contact", "account", "address")
 DIGITS = frozenset("0123456789")
 LABEL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-")
 LOCAL = LABEL | frozenset("._%+")
 PHONE = frozenset(" ().-") | DIGITS
 SCHEMES = ("mailto:", "tel:", "://")
-CUES = ("iban", "ssn", "social security", "account", "acct", "passport", "konto", "compte", "cuenta", "routing")
+#: Cues of identifiers and what they announce; cues of streets and post boxes.
+CUES = {"iban": "iban", "ssn": "ssn", "social security": "ssn", "routing": "routing", "passport": "passport", **dict.fromkeys(("account", "acct", "konto", "compte", "cuenta"), "account")}
+STREETS = (" Street", " St.", " Avenue", " Ave", " Road", " Rd", " Lane", " Boulevard", " Blvd", " Drive", "straße", "strasse", "O. Box", "PO Box")
 Span = tuple[str, int, int]
 
 
@@ -45,8 +53,10 @@ def automaton() -> ahocorasick.Automaton:
     for w in SCHEMES:
         words[w] = "scheme"
     for w in CUES:
-        for form in {w, w.upper(), w.capitalize()}:
-            words[form] = "cue"
+        for form in {w, w.upper(), w.capitalize(), w.title()}:
+            words[form] = CUES[w]
+    for w in STREETS:
+        words[w] = "address"
     a = ahocorasick.Automaton()
     for w, kind in words.items():
         a.add_word(w, (kind, len(w)))
@@ -142,18 +152,95 @@ def parse_phone(text: str, at: int) -> tuple[int, int, bool] | None:
     return at, end, 8 <= sum(c in DIGITS for c in text[at:end]) <= 15
 
 
-ACCOUNT = re.compile(r"(?:\s+(?:number|no|nr|num))?[.:#\s]{1,3}([A-Za-z]{0,4}[0-9](?:[ -]?[A-Za-z0-9]){5,33})", re.I)
+#: What may stand between a cue and its identifier.
+BETWEEN = re.compile(r"(?:\s+(?:number|no|nr|num))?[.:#\s]{1,3}", re.I)
+IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?:[ -]?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+SSN = re.compile(r"([0-9]{3})([ -]?)([0-9]{2})\2([0-9]{4})(?![0-9A-Za-z])")
+ROUTING = re.compile(r"[0-9]{9}(?![0-9A-Za-z])")
+PASSPORT = re.compile(r"[A-Z0-9]{6,9}(?![0-9A-Za-z])")
+NUMBER = re.compile(r"[0-9]+(?:[ -][0-9]+)*(?![0-9A-Za-z])")
 CONTACT = re.compile(r"[+0-9A-Za-z][0-9A-Za-z.%+()@_-]{4,}")
 USERINFO = re.compile(r"[A-Za-z0-9._%+-]+:[^\s/@]+(?=@)")
-
-
-def parse_cue(text: str, end: int) -> tuple[int, int] | None:
-    m = ACCOUNT.match(text, end)
-    if not m or sum(c in DIGITS for c in m[1]) < 6:
+BEFORE_STREET = re.compile(r"(?<![\w.-])[0-9]{1,5}[A-Za-z]?(?: [A-Z][\w'.-]*){1,4}$")
+GERMAN_NUMBER = re.compile(r" [0-9]{1,4}[a-z]?(?!\w)")
+BOX_NUMBER = re.compile(r" [0-9]{1,6}(?!\w)")
+TOWN = re.compile(r",? (?:(?:Apt|Suite|Unit|No)\.? [0-9A-Za-z]{1,5})?(?:, )?(?:[A-Z][\w'-]*(?: [A-Z][\w'-]*){0,2}),? (?:[A-Z]{2} )?[0-9]{5}(?:-[0-9]{4})?(?!\w)|, [0-9]{5} [A-Z][\w'-]*")
+#: Characters that a street's number and name may take.
+STREET_REACH = 80
+
+
+def iban_at(text: str, at: int) -> int:
+    """End of the longest valid IBAN at ``at``, or -1; ends lie between groups."""
+    m = IBAN.match(text, at)
+    if not m:
+        return -1
+    value, end = m[0], len(m[0])
+    while end >= 15:
+        compact = re.sub("[ -]", "", value[:end])
+        if 15 <= len(compact) <= 34 and int("".join(str(int(c, 36)) for c in compact[4:] + compact[:4])) % 97 == 1:
+            return at + end
+        end = max(value.rfind(" ", 0, end), value.rfind("-", 0, end))
+    return -1
+
+
+def identifier_at(text: str, at: int, what: str) -> int:
+    """End of a valid identifier of this kind at ``at``, or -1."""
+    if what == "iban":
+        return iban_at(text, at)
+    if what == "ssn":
+        m = SSN.match(text, at)
+        good = m and m[1] not in ("000", "666") and m[1] < "900" and m[3] != "00" and m[4] != "0000"
+        return m.end() if good else -1
+    if what == "routing":
+        m = ROUTING.match(text, at)
+        return m.end() if m and m[0] != "000000000" and sum(int(d) * w for d, w in zip(m[0], (3, 7, 1) * 3)) % 10 == 0 else -1
+    if what == "passport":
+        m = PASSPORT.match(text, at)
+        return m.end() if m and sum(c in DIGITS for c in m[0]) >= 5 else -1
+    if text[at : at + 1] not in DIGITS:
+        return iban_at(text, at)
+    m = NUMBER.match(text, at)
+    digits = re.sub("[ -]", "", m[0]) if m else ""
+    return m.end() if m and 6 <= len(digits) <= 17 and len(set(digits)) > 1 else -1
+
+
+def parse_cue(text: str, end: int, what: str) -> tuple[int, int] | None:
+    m = BETWEEN.match(text, end)
+    if not m:
         return None
-    value = m[1]
-    last = max(i for i, c in enumerate(value) if c in DIGITS)
-    return m.start(1), m.start(1) + last + 1
+    stop = identifier_at(text, m.end(), what)
+    return (m.end(), stop) if stop > 0 else None
+
+
+def parse_street(text: str, at: int, end: int) -> tuple[int, int] | None:
+    """An address around the cue text[at:end]: house number and names before it (or a number behind it), then the town."""
+    cue = text[at:end]
+    if cue.endswith("Box"):
+        number = BOX_NUMBER.match(text, end)
+        start = at - 2 if cue == "O. Box" and text[max(0, at - 2) : at] == "P." else at
+        if not number or (cue == "O. Box" and start == at):
+            return None
+        end = number.end()
+    elif cue[0] != " ":
+        number = GERMAN_NUMBER.match(text, end)
+        start = at
+        while start and at - start < STREET_REACH and text[start - 1].isalpha():
+            start -= 1
+        if not number or start == at or not text[start].isupper():
+            return None
+        end = number.end()
+    else:
+        if end < len(text) and text[end].isalnum():
+            return None
+        low = max(0, at - STREET_REACH)
+        before = BEFORE_STREET.search(text[low:at])
+        if not before:
+            return None
+        start = low + before.start()
+        if cue in (" Ave", " Rd", " Blvd") and text[end : end + 1] == ".":
+            end += 1
+    town = TOWN.match(text, end)
+    return start, town.end() if town else end
 
 
 def spans(text: str | None) -> list[Span]:
@@ -189,7 +276,11 @@ def spans(text: str | None) -> list[Span]:
             if m and m.start() >= floor["contact"]:
                 out["contact"].append(m.span())
                 floor["contact"] = m.end()
-        elif at >= floor["account"] and (at == 0 or not text[at - 1].isalnum()) and (hit := parse_cue(text, last + 1)):
+        elif kind == "address":
+            if (hit := parse_street(text, at, last + 1)) and hit[0] >= floor[kind]:
+                out[kind].append(hit)
+                floor[kind] = hit[1]
+        elif at >= floor["account"] and (at == 0 or not text[at - 1].isalnum()) and (hit := parse_cue(text, last + 1, kind)):
             out["account"].append(hit)
             floor["account"] = hit[1]
     return [(k, a, b) for k in KINDS for a, b in out[k]]

@@ -18,18 +18,19 @@ its own, so no task holds an unbounded group. A tree search takes what it finds
 spanning forest, never all pairs of a group.
 
 Null or empty text has fingerprint zero, which links like any other; repeated doc_ids are kept as rows and share
-a group; an empty table gives no rows; other columns are not read.
+a group; rows without a doc_id link like any other, but never name a group: a group of such rows only has a null
+component_id. An empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import bound_batches, cut, map_batches, shuffle_width
@@ -129,21 +130,6 @@ def forest(values: list[int], radius: int) -> list[tuple[int, int]]:
     return links
 
 
-def wide_fingerprint(text: str | None, shingle: int = 5) -> bytes:
-    """The 128-bit SimHash of a text's distinct word shingles, as two little-endian words."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return bytes(16)
-    if len(words) <= shingle:
-        return xxhash.xxh3_128_digest(b" ".join(words))
-    grams = set(map(b" ".join, zip(*(words[i:] for i in range(shingle)))))
-    h = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, grams)), np.uint8).reshape(len(grams), 16)
-    votes = np.zeros(128, np.int64)
-    for at in range(0, len(h), 1 << 15):
-        votes += np.unpackbits(h[at : at + (1 << 15)], axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return np.packbits(votes * 2 > len(h), bitorder="little").tobytes()
-
-
 def block_masks(radius: int, count: int) -> list[int]:
     """Masks such that any two fingerprints within the radius agree on one of them."""
     m = 1
@@ -160,17 +146,14 @@ def signed(x: int) -> int:
 
 
 def search_shards(members: DataFrame, radius: int) -> DataFrame:
-    """``members`` (shard keys.., hi, lo, node), sorted by shard within partitions -> links (a > b)."""
+    """``members`` (shard keys.., fp), sorted by shard within partitions -> links (a > b)."""
     keys = ["mask_no", "bits", "part_a", "part_b"]
     bound_batches(members.sparkSession)
 
-    def links(fps: np.ndarray, nodes: np.ndarray) -> list[tuple[int, int]]:
-        out = []
-        high, low = (np.ascontiguousarray(fps[:, i]).view(np.uint64).tolist() for i in range(2))
-        for i, j in forest([a << 64 | b for a, b in zip(high, low)] if any(high) else low, radius):
-            a, b = int(nodes[i]), int(nodes[j])
-            out.append((max(a, b), min(a, b)))
-        return out
+    def links(fps: np.ndarray) -> list[tuple[int, int]]:
+        values = fps.tolist()
+        found = forest(fps.view(np.uint64).tolist(), radius)
+        return [(max(values[i], values[j]), min(values[i], values[j])) for i, j in found]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []  # the rows of the shard that is not complete yet
@@ -182,12 +165,12 @@ def search_shards(members: DataFrame, radius: int) -> DataFrame:
             ends = np.r_[starts[1:], len(table)]
             out: list[tuple[int, int]] = []
             for s, e in zip(starts[ends - starts > 1], ends[ends - starts > 1]):
-                out += links(table[s:e, 4:6], table[s:e, 6])
+                out += links(np.ascontiguousarray(table[s:e, 4]))
             a = np.array(out, np.int64).reshape(-1, 2)
             return pa.RecordBatch.from_arrays([pa.array(a[:, 0]), pa.array(a[:, 1])], names=["a", "b"])
 
         for batch in batches:
-            table = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in [*keys, "hi", "lo", "node"]], axis=1)
+            table = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in [*keys, "fp"]], axis=1)
             if not len(table):
                 continue
             held.append(table)
@@ -205,43 +188,37 @@ def search_shards(members: DataFrame, radius: int) -> DataFrame:
 
 
 def link_fingerprints(classes: DataFrame, masks: list[int], radius: int) -> DataFrame:
-    """``classes`` (hi, lo, node), fingerprints distinct -> links (a, b) that span the groups."""
-
-    def masked(m: int) -> Column:
-        high, low = (F.lit(signed(x)).cast("long") for x in (m >> 64, m & ((1 << 64) - 1)))
-        if not m >> 64:
-            return F.col("lo").bitwiseAND(low)
-        return F.xxhash64(F.col("hi").bitwiseAND(high), F.col("lo").bitwiseAND(low))
-
-    shards = F.explode(F.array(*(F.struct(F.lit(i).alias("mask_no"), masked(m).alias("bits")) for i, m in enumerate(masks))))
-    members = classes.select("hi", "lo", "node", shards.alias("s")).select("hi", "lo", "node", "s.mask_no", "s.bits")
+    """``classes`` (fp), distinct -> links (a, b) of fingerprints that span the groups."""
+    shards = F.explode(F.array(*(F.struct(F.lit(i).alias("mask_no"), F.col("fp").bitwiseAND(F.lit(signed(m)).cast("long")).alias("bits")) for i, m in enumerate(masks))))
+    members = classes.select("fp", shards.alias("s")).select("fp", "s.mask_no", "s.bits")
     large = cut(members.groupBy("mask_no", "bits").agg(F.count("*").alias("n")).where(F.col("n") > SHARD_LIMIT).select("mask_no", "bits", F.ceil(F.col("n") / SHARD_LIMIT).cast("int").alias("parts")))
-    own = F.pmod(F.xxhash64("hi", "lo"), F.col("parts")).cast("int")
+    own = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
     sized = members.join(large, ["mask_no", "bits"], "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("own", own)
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    cells = sized.withColumn("other", other).select("mask_no", "bits", F.least("own", "other").alias("part_a"), F.greatest("own", "other").alias("part_b"), "hi", "lo", "node")
+    cells = sized.withColumn("other", other).select("mask_no", "bits", F.least("own", "other").alias("part_a"), F.greatest("own", "other").alias("part_b"), "fp")
     keys = ["mask_no", "bits", "part_a", "part_b"]
-    # in the order of nodes a group's root is its smallest node in the shard, so shards of different masks tell the same links
-    return search_shards(cells.repartition(shuffle_width(classes.sparkSession), *keys).sortWithinPartitions(*keys, "node"), radius)
-
-
-def grouped(prints: DataFrame, masks_for: Callable[[int], list[int]], radius: int) -> DataFrame:
-    """``prints`` (doc_id, hi, lo) with ``component_id``, the smallest doc_id that links reach."""
-    classes = cut(prints.groupBy("hi", "lo").agg(F.coalesce(F.min("doc_id"), F.lit(-1 << 63).cast("long")).alias("node")))
-    labels = components(link_fingerprints(classes, masks_for(classes.count()), radius))
-    groups = cut(classes.join(labels, "node", "left").select("hi", "lo", F.coalesce("component", "node").alias("component_id")))
-    return prints.join(groups, ["hi", "lo"])
+    # in the order of fingerprints a group's root is its smallest one in the shard, so shards of different masks tell the same links
+    return search_shards(cells.repartition(shuffle_width(classes.sparkSession), *keys).sortWithinPartitions(*keys, "fp"), radius)
 
 
 def near_duplicate_groups(docs: DataFrame, shingle: int = 4, radius: int = 4) -> DataFrame:
     """(doc_id, fp, component_id) for every row: 64-bit fingerprints linked within the radius, no pair missed."""
-    prints = cut(fingerprints(docs, shingle).select("doc_id", F.lit(0).cast("long").alias("hi"), F.col("fp").alias("lo")))
-    return grouped(prints, lambda n: block_masks(radius, n), radius).select("doc_id", F.col("lo").alias("fp"), "component_id")
+    prints = cut(fingerprints(docs, shingle))
+    classes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
+    labels = components(link_fingerprints(classes, block_masks(radius, classes.count()), radius)).withColumnRenamed("node", "fp")
+    labelled = cut(classes.join(labels, "fp", "left").select("fp", "first", F.coalesce("component", "fp").alias("component")))
+    names = cut(labelled.groupBy("component").agg(F.min("first").alias("component_id")))
+    groups = cut(labelled.join(names, "component").select("fp", "component_id"))
+    return prints.join(groups, "fp").select("doc_id", "fp", "component_id")
 
 
 def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(doc_id, component_id) for every row: documents linked whose shingle sets have this Jaccard similarity or more."""
-    return similar_sets(docs, shingle, similarity)
+    """(doc_id, component_id) for every row: documents linked whose shingle sets have this Jaccard similarity or more.
+
+    Rows without a doc_id take no part: their component_id is null.
+    """
+    nameless = docs.where("doc_id is null").select(F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("component_id"))
+    return similar_sets(docs.where("doc_id is not null"), shingle, similarity).union(nameless)
 
 
 def dedup_query(docs: DataFrame) -> DataFrame:
@@ -251,6 +228,6 @@ def dedup_query(docs: DataFrame) -> DataFrame:
 
 def keep_one_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """The documents without near-duplicates: of each group the smallest doc_id stays (all rows without a doc_id stay)."""
-    groups = similar_groups(docs.where("doc_id is not null"), shingle, similarity)
+    groups = similar_sets(docs.where("doc_id is not null"), shingle, similarity)
     gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)

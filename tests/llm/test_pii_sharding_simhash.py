@@ -87,6 +87,29 @@ def test_shards_do_not_depend_on_layout(spark):
     assert [d for _, d in slots] != sorted(d for _, d in slots)
 
 
+@pytest.mark.parametrize(
+    "text, found",
+    [
+        ("IBAN: DE89 3704 0044 0532 0130 00 then", ["DE89 3704 0044 0532 0130 00"]), ("IBAN: DE00 0000 0000 0000 0000 00", []), ("iban GB29NWBK60161331926819.", ["GB29NWBK60161331926819"]), ("IBAN GB29 NWBK 6016 1331 9268 18", []),
+        ("SSN 123-45-6789", ["123-45-6789"]), ("SSN 000-45-6789", []), ("Social Security no. 123 45 0000", []), ("routing number 021000021", ["021000021"]), ("routing number 021000022", []),
+        ("account 123456 for 2 weeks", ["123456"]), ("account 111111", []), ("acct no. 12-3456-78", ["12-3456-78"]), ("passport X1234567", ["X1234567"]), ("passport control", []), ("account DE89370400440532013000", ["DE89370400440532013000"]),
+        ("He lives at 12 Elm Street, Springfield, IL 62704 now", ["12 Elm Street, Springfield, IL 62704"]), ("P.O. Box 123", ["P.O. Box 123"]), ("Down the Street", []), ("Lange Hauptstraße 5, 10115 Berlin", ["Hauptstraße 5, 10115 Berlin"]), ("221B Baker St. is famous", ["221B Baker St."]),
+        ("Drive 5 miles. 3 Streets", []),
+    ],
+)
+def test_accounts_and_addresses_are_validated(text, found):
+    assert [text[a:b] for k, a, b in pii.spans(text) if k in ("account", "address")] == found
+
+
+def test_cues_take_linear_time():
+    import time
+
+    start = time.process_time()
+    for part in ("IBAN: DE89 ", "1 A Street ", "12 A A A A Street", "account 1 ", "straße", "P.O. Box 1"):
+        pii.spans(part * (500_000 // len(part)))
+    assert time.process_time() - start < 60
+
+
 def slow_fingerprint(text, k=4):
     words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     if not words:
@@ -137,6 +160,18 @@ def test_groups_match_brute_force(spark, monkeypatch, limit):
     assert sorted((r.doc_id, r.component_id) for r in got) == brute_groups(prints, 4)
 
 
+def test_rows_without_an_id_link_but_never_name_a_group(spark):
+    words = [f"w{i}" for i in range(200)]
+    other = [f"v{i}" for i in range(200)]
+    rows = [(5, " ".join(words)), (None, " ".join(words)), (9, " ".join(other)), (None, " ".join(other)), (None, "alone here " * 20), (None, "alone here " * 20), (None, None), (-(1 << 63), "smallest id of all")]
+    got = sorted(((r.doc_id, r.component_id) for r in simhash_dedup.dedup_query(docs(spark, rows)).collect()), key=str)
+    low = -(1 << 63)
+    assert got == sorted([(5, 5), (None, 5), (9, 9), (None, 9), (None, None), (None, None), (None, None), (low, low)], key=str)
+    groups = sorted(((r.doc_id, r.component_id) for r in simhash_dedup.similar_groups(docs(spark, rows)).collect()), key=str)
+    assert groups == sorted([(5, 5), (9, 9), *[(None, None)] * 5, (low, low)], key=str)
+    assert simhash_dedup.keep_one_each(docs(spark, rows)).count() == len(rows)
+
+
 def test_block_masks_cover_every_pair_within_the_radius():
     rng = random.Random(5)
     for count in (10, 10**6, 10**9):
