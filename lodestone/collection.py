@@ -1,7 +1,8 @@
 """Collections, cursors and databases over Spark frames.
 
 A collection is typed (its columns are the fields) or a document collection (``_id``, ``data`` as JSON text). In a
-database with a path, writes are versioned snapshots with a change log; without one they replace the frame in memory.
+database with a path, a write adds its own rows as a layer, with log rows and indexes that last; without one it replaces
+the frame in memory.
 """
 
 from __future__ import annotations
@@ -25,8 +26,8 @@ from lodestone.operators.pipeline import aggregate
 from lodestone.operators.projection import project
 from lodestone.operators.updates import apply_update, check, update_frame
 from lodestone.sources.documents import DOC, VALID, documents_of, invalid_rows, new_id, object_id, raw_documents, read_text, to_text, validate
-from lodestone.sources.store import SnapshotStore
-from lodestone.streaming.events import LOG_SCHEMA, change_events
+from lodestone.sources.store import BEFORE, COMMITS, SnapshotStore
+from lodestone.streaming.events import change_events
 
 Filter = dict[str, Any]
 
@@ -62,6 +63,13 @@ class WriteResult:
     inserted_ids: dict[int, str] = field(default_factory=dict)
 
 
+def document_rows(df: DataFrame) -> DataFrame:
+    """Whole documents as (_id, data), their text with all changes; other rows as they are."""
+    if not {DOC, VALID} <= set(df.columns):
+        return df
+    return df.select(*(["_id"] if "_id" in df.columns else []), F.to_json(DOC).alias("data"))
+
+
 class Cursor:
     """A lazy query; nothing runs before rows are asked for."""
 
@@ -105,7 +113,7 @@ class Cursor:
     def frame(self) -> DataFrame:
         """The result as a frame."""
         df, c = self._rows(), self.collection
-        return project(df, self.spec, c.root(df)) if self.spec else df if not c.documents else df.select("_id", "data")
+        return document_rows(project(df, self.spec, c.root(df))) if self.spec else df if not c.documents else df.select("_id", "data")
 
     def to_array(self) -> list[dict[str, Any]]:
         return list(self)
@@ -164,8 +172,7 @@ class Collection:
     def __init__(self, spark: SparkSession, name: str, frame: DataFrame | None = None, store: SnapshotStore | None = None, documents: bool = False):
         self.spark, self.name, self.store, self.documents = spark, name, store, documents
         self._frame, self._version = frame, 0
-        self.indexes: dict[str, tuple[tuple[str, int], ...]] = {}
-        self.unique: set[str] = set()
+        self._indexes: dict[str, tuple[tuple[tuple[str, int], ...], bool]] = {}
         self.memory_log: list[DataFrame] = []
         if documents and frame is None and store is None:
             self._frame = spark.createDataFrame([], "_id string, data string")
@@ -177,7 +184,7 @@ class Collection:
         if self.store is not None:
             self._version = self.store.version(self.name)
             if self._version:
-                return self.store.read(self.name, self._version)
+                return self.store.read(self.name)
             if self._frame is None:
                 return self.spark.createDataFrame([], "_id string, data string" if self.documents else "_id string")
         if self._frame is None:
@@ -214,42 +221,44 @@ class Collection:
         return self.frame().count()
 
     def distinct(self, path: str, query: Filter | None = None) -> list[Any]:
-        found = [r["value"] for r in distinct_values(self.matching(query), path, DOC if self.documents else None).collect()]
-        return [json.loads(v) for v in found] if self.documents else found
+        """The distinct values as a list; ``distinct_values`` gives them as a frame."""
+        found = (r["value"] for r in distinct_values(self.matching(query), path, DOC if self.documents else None).toLocalIterator())
+        return [json.loads(v) for v in found] if self.documents else list(found)
 
     def aggregate(self, pipeline: list[dict[str, Any]], expressions: bool = False) -> DataFrame:
         df = self.rows()
         if self.documents:
             df = df.where(VALID)
-        return aggregate(df, pipeline, order_by="_id" if "_id" in df.columns else None, document=DOC if self.documents else None, expressions=expressions)
+        return document_rows(aggregate(df, pipeline, order_by="_id" if "_id" in df.columns else None, document=DOC if self.documents else None, expressions=expressions))
 
     def find_invalid_json(self) -> list[dict[str, Any]]:
-        return [r.asDict() for r in invalid_rows(self.frame()).collect()] if self.documents else []
+        """The broken rows as a list; ``invalid_rows`` of the frame gives them as a frame."""
+        return [r.asDict() for r in invalid_rows(self.frame()).toLocalIterator()] if self.documents else []
 
     def count_invalid_json(self) -> int:
         return invalid_rows(self.frame()).count() if self.documents else 0
 
     # writing
 
-    def _commit(self, new: DataFrame, changes: DataFrame | None) -> None:
-        if self.store is not None:
-            self._version = self.store.commit(self.name, new, changes, self._version)
-        else:
-            self._frame = new
-            if changes is not None:
-                self.memory_log.append(changes)
-
     def _json(self, df: DataFrame) -> Column:
         if self.documents:
             return F.col("data")
         return F.to_json(F.struct(*(F.col(f"`{c}`") for c in df.columns if c != "_id" and not c.startswith("__"))))
 
-    def _check_unique(self, df: DataFrame) -> None:
+    def _keys(self, df: DataFrame, index: str) -> DataFrame:
+        """The values that an index holds, without rows that lack one."""
+        paths = [p for p, _ in self.indexes[index]]
+        base = documents_of(df) if self.documents else df
+        root = self.root(base)
+        keyed = [root.value(p).as_text() if self.documents else root.value(p).col for p in paths]
+        return base.select(*(k.alias(f"k{i}") for i, k in enumerate(keyed))).dropna()
+
+    def _check_unique(self, new: DataFrame, rest: DataFrame | None) -> None:
+        """Raise where rows of ``new`` share a unique index's values with each other or with ``rest``."""
         for name in self.unique:
-            keys = [Root.of(df).value(p).col if not self.documents else self.root(documents_of(df)).value(p).as_text() for p, _ in self.indexes[name]]
-            base = documents_of(df) if self.documents else df
-            keyed = base.select(*(k.alias(f"k{i}") for i, k in enumerate(keys))).dropna()
-            if not keyed.groupBy(*keyed.columns).count().where("count > 1").isEmpty():
+            keyed = self._keys(new, name)
+            repeated = keyed.groupBy(*keyed.columns).count().where("count > 1")
+            if not repeated.isEmpty() or (rest is not None and not keyed.join(self._keys(rest, name), keyed.columns, "left_semi").isEmpty()):
                 raise ValueError(f"duplicate value for unique index {name}")
 
     def insert_one(self, doc: dict[str, Any]) -> WriteResult:
@@ -277,15 +286,32 @@ class Collection:
             parsed = lines.select(F.from_json("j", schema).alias("v"), *([F.from_json("j", added).alias("x")] if extra else []))
             new = parsed.select("v.*", *(["x.*"] if extra else []))
         old = self.frame()
-        both = new.select("_id").join(old.select("_id"), "_id", "left_semi") if "_id" in old.columns else new.limit(0)
-        repeated = new.groupBy("_id").count().where("count > 1")
-        if not both.isEmpty() or not repeated.isEmpty():
+        if self.store is None:
+            self._check_new(new, old, list(ids.values()))
+            self._frame = old.unionByName(new, allowMissingColumns=True)
+            self.memory_log.append(self._inserted(new))
+            return WriteResult(inserted_count=len(ids) or new.count(), inserted_ids=ids)
+        path = self.store.stage(self.name, new)
+        staged = self.store.staged(path)
+        try:
+            self._check_new(staged, old, list(ids.values()))
+        except ValueError:
+            self.store.discard(path)
+            raise
+        self._version = self.store.commit_staged(self.name, path, self._inserted(staged), self._version)
+        return WriteResult(inserted_count=len(ids) or staged.count(), inserted_ids=ids)
+
+    def _check_new(self, new: DataFrame, old: DataFrame, ids: list[str]) -> None:
+        if "_id" in old.columns:
+            same = old.where(F.col("_id").isin(ids)) if 0 < len(ids) <= 1000 else new.select("_id").join(old.select("_id"), "_id", "left_semi")
+            if not same.isEmpty():
+                raise ValueError("duplicate _id")
+        if not new.groupBy("_id").count().where("count > 1").isEmpty():
             raise ValueError("duplicate _id")
-        out = old.unionByName(new, allowMissingColumns=True)
-        self._check_unique(out)
-        changes = new.select(F.lit("insert").alias("operation"), F.col("_id").alias("document_id"), self._json(new).alias("full_document"), F.lit(None).cast("string").alias("full_document_before"))
-        self._commit(out, changes)
-        return WriteResult(inserted_count=len(ids) or new.count(), inserted_ids=ids)
+        self._check_unique(new, old)
+
+    def _inserted(self, new: DataFrame) -> DataFrame:
+        return new.select(F.lit("insert").alias("operation"), F.col("_id").alias("document_id"), self._json(new).alias("full_document"), F.lit(None).cast("string").alias("full_document_before"))
 
     def _pick(self, query: Filter | None) -> str | None:
         """The first match: the smallest _id."""
@@ -294,19 +320,31 @@ class Collection:
     def _apply(self, hit_of: Callable[[DataFrame], Column], change: Callable[[DataFrame, Column], DataFrame], operation: str) -> None:
         """Rewrite the rows that ``hit_of`` marks and log them."""
         df = self.rows()
-        base = self.frame()
-        before = df.withColumn("__hit", F.coalesce(hit_of(df), F.lit(False))).withColumn("__before", self._json(base))
+        before = df.withColumn("__hit", F.coalesce(hit_of(df), F.lit(False))).withColumn(BEFORE, self._json(df))
+        if self.store is not None:  # only the rows that change are written
+            before = before.where("__hit")
         after = change(before, F.col("__hit"))
-        kept = [c for c in after.columns if c not in ("__hit", "__before", DOC, VALID)]
-        out = after.select(*(f"`{c}`" for c in kept))
-        self._check_unique(out)
-        logged = after.where("__hit").select(
-            F.lit(operation).alias("operation"),
-            F.col("_id").alias("document_id"),
-            (F.col("data") if self.documents else F.to_json(F.struct(*(F.col(f"`{c}`") for c in kept if c != "_id")))).alias("full_document"),
-            F.col("__before").alias("full_document_before"),
-        )
-        self._commit(out, logged)
+        kept = [c for c in after.columns if c not in ("__hit", BEFORE, DOC, VALID)]
+
+        def logged(rows: DataFrame) -> DataFrame:
+            new = F.col("data") if self.documents else F.to_json(F.struct(*(F.col(f"`{c}`") for c in kept if c != "_id")))
+            return rows.select(F.lit(operation).alias("operation"), F.col("_id").alias("document_id"), new.alias("full_document"), F.col(BEFORE).alias("full_document_before"))
+
+        if self.store is None:
+            out = after.select(*(f"`{c}`" for c in kept))
+            self._check_unique(out, None)
+            self._frame = out
+            self.memory_log.append(logged(after.where("__hit")))
+            return
+        path = self.store.stage(self.name, after.select(*(f"`{c}`" for c in kept), BEFORE))
+        staged = self.store.staged(path)
+        try:
+            if self.unique:
+                self._check_unique(staged, self.frame().join(staged.select("_id"), "_id", "left_anti"))
+        except ValueError:
+            self.store.discard(path)
+            raise
+        self._version = self.store.commit_staged(self.name, path, logged(staged), self._version, gone="rows")
 
     def _rewrite(self, update: dict[str, Any]) -> Callable[[DataFrame, Column], DataFrame]:
         check(update)
@@ -366,12 +404,26 @@ class Collection:
         return WriteResult(1, 1)
 
     def _delete(self, hit_of: Callable[[DataFrame], Column]) -> int:
-        df = self.rows().withColumn("__hit", F.coalesce(hit_of(self.rows()), F.lit(False)))
-        gone = df.where("__hit")
-        n = gone.count()
-        if n:
-            changes = gone.select(F.lit("delete").alias("operation"), F.col("_id").alias("document_id"), F.lit(None).cast("string").alias("full_document"), self._json(self.frame()).alias("full_document_before"))
-            self._commit(df.where("not __hit").select(*(f"`{c}`" for c in self.frame().columns)), changes)
+        df = self.rows()
+        marked = df.withColumn("__hit", F.coalesce(hit_of(df), F.lit(False)))
+        gone = marked.where("__hit").select("*" if "_id" in df.columns else F.lit(None).cast("string").alias("_id"), self._json(df).alias(BEFORE))
+
+        def logged(rows: DataFrame) -> DataFrame:
+            return rows.select(F.lit("delete").alias("operation"), F.col("_id").alias("document_id"), F.lit(None).cast("string").alias("full_document"), F.col(BEFORE).alias("full_document_before"))
+
+        if self.store is None:
+            n = gone.count()
+            if n:
+                self._frame = marked.where("not __hit").select(*(f"`{c}`" for c in self.frame().columns))
+                self.memory_log.append(logged(gone))
+            return n
+        path = self.store.stage(self.name, gone=gone.select("_id", BEFORE))
+        staged = self.store.staged(path, "gone")
+        n = staged.count()
+        if not n:
+            self.store.discard(path)
+            return 0
+        self._version = self.store.commit_staged(self.name, path, logged(staged), self._version, rows=False, gone="gone")
         return n
 
     def delete_one(self, query: Filter) -> WriteResult:
@@ -409,34 +461,56 @@ class Collection:
             self.delete_one({"_id": old["_id"]})
         return project_document(old, projection) if old and projection else old
 
-    # indexes are metadata, a uniqueness rule and a hint for the layout
+    # indexes are stored metadata, a uniqueness rule and a hint for the layout
+
+    def _all_indexes(self) -> dict[str, tuple[tuple[tuple[str, int], ...], bool]]:
+        if self.store is None:
+            return self._indexes
+        return {name: (keys, unique) for name, keys, unique in self.store.table(self.name).indexes}
+
+    def _keep_indexes(self, indexes: dict[str, tuple[tuple[tuple[str, int], ...], bool]]) -> None:
+        if self.store is None:
+            self._indexes = indexes
+        else:
+            self.store.set_indexes(self.name, [(name, keys, unique) for name, (keys, unique) in indexes.items()])
+
+    @property
+    def indexes(self) -> dict[str, tuple[tuple[str, int], ...]]:
+        return {name: keys for name, (keys, _) in self._all_indexes().items()}
+
+    @property
+    def unique(self) -> set[str]:
+        return {name for name, (_, unique) in self._all_indexes().items() if unique}
 
     def create_index(self, spec: dict[str, int] | str, unique: bool = False, name: str | None = None) -> str:
         keys = tuple({spec: 1}.items() if isinstance(spec, str) else spec.items())
         if not keys:
             raise ValueError("an index needs a field")
         name = name or "_".join([self.name, *(f"{p.replace('.', '_')}_{d}" for p, d in keys)])
-        self.indexes[name] = keys
-        if unique:
-            self.unique.add(name)
-            try:
-                self._check_unique(self.frame())
-            except ValueError:
-                self.drop_index(name)
-                raise
+        before = self._all_indexes()
+        self._keep_indexes({**before, name: (keys, unique)})
+        if unique and not self.violations(name).isEmpty():
+            self._keep_indexes(before)
+            raise ValueError(f"duplicate value for unique index {name}")
         return name
 
+    def violations(self, name: str) -> DataFrame:
+        """The values of an index that more than one row has (``k0``.., ``count``)."""
+        keyed = self._keys(self.frame(), name)
+        return keyed.groupBy(*keyed.columns).count().where("count > 1")
+
     def list_indexes(self) -> list[dict[str, Any]]:
-        return [{"name": n, "key": dict(k), "unique": n in self.unique} for n, k in self.indexes.items()]
+        return [{"name": n, "key": dict(keys), "unique": unique} for n, (keys, unique) in self._all_indexes().items()]
 
     def drop_index(self, name: str) -> None:
-        self.indexes.pop(name, None)
-        self.unique.discard(name)
+        before = self._all_indexes()
+        if name in before:
+            self._keep_indexes({n: x for n, x in before.items() if n != name})
 
     def drop_indexes(self) -> int:
-        n = len(self.indexes)
-        self.indexes.clear()
-        self.unique.clear()
+        n = len(self._all_indexes())
+        if n:
+            self._keep_indexes({})
         return n
 
     def clustered(self, name: str, partitions: int | None = None) -> DataFrame:
@@ -449,7 +523,7 @@ class Collection:
     def drop(self) -> None:
         if self.store is not None:
             self.store.drop(self.name)
-        self._frame = None
+        self._frame, self._indexes = None, {}
 
     def watch(self, query: Filter | None = None, full_document: str = "default", before: str = "off", buffer: int = 1000) -> ChangeStream:
         if self.store is None:
@@ -458,7 +532,7 @@ class Collection:
 
 
 class ChangeStream:
-    """Change events of a collection by Structured Streaming over the log folder.
+    """Change events of a collection by Structured Streaming over the log of committed writes.
 
     A new stream starts at the log's beginning; with a checkpoint folder it goes on where it stopped.
     """
@@ -471,8 +545,7 @@ class ChangeStream:
     def frame(self) -> DataFrame:
         """The events as a streaming frame."""
         c = self.collection
-        log = c.spark.readStream.schema(LOG_SCHEMA).option("maxFilesPerTrigger", 100).parquet(f"{c.store.root}/__changes__").where(F.col("collection") == c.name)
-        events = change_events(log, self.full_document, self.before)
+        events = change_events(c.store.log_stream().where(F.col("collection") == c.name), self.full_document, self.before)
         return events.where(compile_filter(self.query, Root.of(events))) if self.query else events
 
     def _take(self, batch: DataFrame, _: int) -> None:
@@ -485,10 +558,15 @@ class ChangeStream:
         return self
 
     def drain(self, checkpoint: str | None = None) -> list[dict[str, Any]]:
-        """All events that are there now."""
-        writer = self.frame().writeStream.foreachBatch(self._take).trigger(availableNow=True)
+        """All events that are there now, as a list; the buffer's bound does not apply (``start`` with a handler keeps events distributed)."""
+        found: list[dict[str, Any]] = []
+
+        def take(batch: DataFrame, _: int) -> None:
+            found.extend(plain(r) for r in batch.orderBy("version", "seq").toLocalIterator())
+
+        writer = self.frame().writeStream.foreachBatch(take).trigger(availableNow=True)
         (writer.option("checkpointLocation", checkpoint) if checkpoint else writer).start().awaitTermination()
-        return [self.buffer.popleft() for _ in range(len(self.buffer))]
+        return found
 
     def next(self) -> dict[str, Any] | None:
         """The oldest buffered event, taken out."""
@@ -553,7 +631,7 @@ def discover(path: str, spark: SparkSession, depth: int = 2, limit: int = 50) ->
         p = store.jvm.org.apache.hadoop.fs.Path(at)
         fs = p.getFileSystem(store.conf)
         folders = [s for s in fs.listStatus(p) if s.isDirectory()] if fs.exists(p) else []
-        if any(fs.exists(store.jvm.org.apache.hadoop.fs.Path(f"{s.getPath()}/_commits")) for s in folders):
+        if any(s.getPath().getName() == COMMITS for s in folders):
             found.append((max(s.getModificationTime() for s in folders), at))
         elif level < depth:
             todo.extend((str(s.getPath()), level + 1) for s in folders)

@@ -394,6 +394,36 @@ class Doc(Value):
         return [rank, number, F.when(rank == 2, self.as_text())]
 
 
+def fields_of(document: Column) -> Column:
+    """The fields of an object as a map; empty for what is no object."""
+    return F.coalesce(F.try_variant_get(document, "$", "map<string,variant>"), F.create_map().cast("map<string,variant>"))
+
+
+def with_field(document: Column, names: list[str], value: Column) -> Column:
+    """The document with a field set; parents that are no objects become objects."""
+    name, *below = names
+    fields = fields_of(document)
+    inner = with_field(F.try_element_at(fields, F.lit(name)), below, value) if below else value
+    return F.to_variant_object(F.map_concat(F.map_filter(fields, lambda k, _: k != name), F.create_map(F.lit(name), inner)))
+
+
+def without_field(document: Column, names: list[str]) -> Column:
+    """The document without a field; as it is where the field's parent is no object."""
+    name, *below = names
+    fields = fields_of(document)
+    rest = F.map_filter(fields, lambda k, _: k != name)
+    if not below:
+        return F.when(F.map_contains_key(fields, name), F.to_variant_object(rest)).otherwise(document)
+    inner = F.try_element_at(fields, F.lit(name))
+    is_object = F.schema_of_variant(inner).startswith("OBJECT")
+    return F.when(is_object, F.to_variant_object(F.map_concat(rest, F.create_map(F.lit(name), without_field(inner, below))))).otherwise(document)
+
+
+def as_variant(value: Any) -> Column:
+    """A Python value as a variant literal."""
+    return F.parse_json(F.lit(canonical(value)))
+
+
 def wrap(col: Column, dtype: T.DataType) -> Value:
     return Doc(col) if isinstance(dtype, T.VariantType) else Typed(col, dtype)
 

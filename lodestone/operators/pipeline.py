@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lodestone.functions.values import Doc, Value, literal_of, type_of
+from lodestone.functions.paths import parse
+from lodestone.functions.values import Doc, Value, as_variant, literal_of, type_of, with_field
 from lodestone.operators.filters import Root, compile_filter
 from lodestone.operators.ordering import SortSpec, as_constant, encoded, sort_columns
 from lodestone.operators.projection import project
@@ -71,11 +72,16 @@ def project_stage(state: State, arg: Any) -> State:
 def add_fields(state: State, arg: dict[str, Any]) -> State:
     """Constants (dotted keys are plain names). With ``expressions`` on, ``"$path"`` is evaluated too."""
     columns = {}
+    document = F.col(f"`{state.document}`") if state.document else None
     for name, value in arg.items():
-        if isinstance(value, Column) or (state.expressions and not as_constant(value)):
-            columns[name] = column_of(state, value)
+        computed = isinstance(value, Column) or (state.expressions and not as_constant(value))
+        if document is not None and name != "_id":
+            added = column_of(state, value) if computed else as_variant(value)
+            document = with_field(document, [name], added if not computed or isinstance(value_of(state, value) if isinstance(value, str) else None, Doc) else added.cast("variant"))
         else:
-            columns[name] = literal_of(value, type_of(value))
+            columns[name] = column_of(state, value) if computed else literal_of(value, type_of(value))
+    if document is not None:
+        columns[state.document] = document
     return replace(state, df=state.df.withColumns(columns))
 
 
@@ -113,14 +119,16 @@ def unwind(state: State, arg: Any) -> State:
     names = path.split(".")
     if isinstance(value, Doc):
         items = F.when(value.is_array(), value.elements()).when(~value.null(), F.array(value.col))
-        if state.document is not None:
-            raise NotImplementedError("$unwind on a whole document: project the path to a column first")
     elif value.maybe_array():
         items = value.col
     else:
         return replace(state, df=df.filter(~value.null()))
     marked = df.select("*", F.posexplode(items).alias("__at", "__item"))
-    if len(names) == 1:
+    if state.document is not None and path != "_id":
+        out = marked.withColumn(state.document, with_field(F.col(f"`{state.document}`"), [str(s) for s in parse(path)], F.col("__item")))
+    elif isinstance(value, Doc) and len(names) > 1:
+        out = marked.withColumn(names[0], with_field(F.col(f"`{names[0]}`"), names[1:], F.col("__item")))
+    elif len(names) == 1:
         out = marked.withColumn(names[0], F.col("__item"))
     else:
         out = marked.withColumn(names[0], F.col(names[0]).withField(".".join(names[1:]), F.col("__item")))
@@ -163,6 +171,9 @@ def accumulate(state: State, op: str, arg: Any, order: Column | None) -> Column:
     if op == "$count":
         return F.count(F.lit(1))
     item = column_of(state, arg)
+    if op == "$push" and isinstance(value_of(state, arg), Doc):  # variants have no order: their text is sorted along
+        pairs = F.collect_list(F.struct(order.alias("o"), F.to_json(item).alias("v")))
+        return F.transform(F.array_sort(pairs), lambda p: F.parse_json(p["v"]))
     if op == "$push":
         pairs = F.collect_list(F.struct(order.alias("o"), item.alias("v")))
         return F.transform(F.array_sort(pairs), lambda p: p["v"])
@@ -241,7 +252,10 @@ def needs_arrival(stages: list[tuple[str, Any]]) -> bool:
 
 
 def aggregate(df: DataFrame, pipeline: list[dict[str, Any]], order_by: str | None = None, document: str | None = None, strict: bool = True, expressions: bool = False) -> DataFrame:
-    """Run a pipeline over a frame. ``order_by`` names the column that stands for arrival order."""
+    """Run a pipeline over a frame. ``order_by`` names the column that stands for arrival order.
+
+    ``document`` names a VARIANT column whose fields are the rows' fields; stages that change documents rewrite it.
+    """
     stages = merged(pipeline)
     if needs_arrival(stages):
         df = df.withColumn(ARRIVAL, F.col(order_by) if order_by else F.monotonically_increasing_id())

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodestone.functions.paths import parse
+from lodestone.functions.values import without_field
 from lodestone.operators.filters import Root
 
 
@@ -40,6 +41,16 @@ def exclude(df: DataFrame, paths: list[str]) -> DataFrame:
     return df
 
 
+def exclude_from_document(df: DataFrame, document: str, paths: list[str]) -> DataFrame:
+    """Exclusion within a VARIANT column; ``_id`` is a column of its own."""
+    doc = F.col(f"`{document}`")
+    for path in paths:
+        if path != "_id":
+            doc = without_field(doc, [str(s) for s in parse(path)])
+    df = df.withColumn(document, doc)
+    return df.drop("_id") if "_id" in paths else df
+
+
 def nested(df: DataFrame, tree: dict[str, Any], prefix: tuple[str, ...], root: Root) -> Column:
     """The part of a nested field that the tree of names keeps; null where its parent is null."""
     parts = []
@@ -56,7 +67,8 @@ def project(df: DataFrame, spec: dict[str, Any] | None, root: Root | None = None
         return df
     root = root or Root.of(df)
     if mode_of(spec) == "exclude":
-        return exclude(df, [k for k, v in spec.items() if not v])
+        gone = [k for k, v in spec.items() if not v]
+        return exclude(df, gone) if root.document is None else exclude_from_document(df, root.document, gone)
     keep_id = "_id" in df.columns and bool(spec.get("_id", True)) and not isinstance(spec.get("_id"), (str, Column))
     tree: dict[str, Any] = {}
     columns: dict[str, Column] = {}

@@ -3,9 +3,11 @@ import json
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from lodestone.collection import Collection, Database, discover
 from lodestone.sources.documents import export_json, read_text, validate
+from lodestone.sources import store
 from lodestone.sources.store import ConcurrentWrite
 
 PEOPLE = [
@@ -143,7 +145,11 @@ def test_stored_collections_and_change_stream(spark, tmp_path):
     assert len(users.watch({"operationType": {"$in": ["delete", "update"]}}).drain(checkpoint)) == 2
     users.delete_one({"_id": "u2"})
     assert [e["documentKey"]["_id"] for e in users.watch({"operationType": {"$in": ["delete", "update"]}}).drain(checkpoint)] == ["u2"]
-    assert len(users.watch(buffer=2).drain()) == 2
+    assert len(users.watch(buffer=2).drain()) == 5  # the bound is for streams that run on
+    short = users.watch(buffer=2).start(interval="0 seconds")
+    short.running.processAllAvailable()
+    assert [e["operationType"] for e in short] == ["delete", "delete"]
+    short.close()
     live = users.watch().start(interval="0 seconds")
     live.running.processAllAvailable()
     assert [e["operationType"] for e in live] == ["insert", "update", "insert", "delete", "delete"]
@@ -155,9 +161,153 @@ def test_stored_collections_and_change_stream(spark, tmp_path):
     users.insert_one({"_id": "u9"})
     with pytest.raises(ConcurrentWrite):
         db.store.commit("users", frame, None, version)
+    with pytest.raises(ConcurrentWrite):
+        stale.store.commit("users", frame, None, version)
     export_json(users.frame(), str(tmp_path / "out"), 1)
     assert spark.read.json(str(tmp_path / "out")).count() == 1
     users.drop()
     assert "users" not in Database(spark, path).list_collections()
     with pytest.raises(ValueError):
         db.collection("__hidden")
+
+
+def rows_of(db, name):
+    return sorted((r["_id"], json.loads(r["data"])["n"]) for r in db.collection(name).frame().collect())
+
+
+def test_of_two_writers_one_wins_and_nothing_of_the_other_is_seen(spark, tmp_path):
+    path = str(tmp_path / "db")
+    first, second = Database(spark, path), Database(spark, path)
+    first.collection("c").insert_one({"_id": "1", "n": 0})
+    checkpoint = str(tmp_path / "watch")
+    assert len(first.collection("c").watch().drain(checkpoint)) == 1
+    loser = second.collection("c")
+    staged = second.store.commit_staged
+
+    def late(*args, **kw):  # the other writer commits between the loser's write and its commit
+        second.store.commit_staged = staged
+        first.collection("c").update_one({"_id": "1"}, {"$set": {"n": 111}})
+        return staged(*args, **kw)
+
+    second.store.commit_staged = late
+    with pytest.raises(ConcurrentWrite):
+        loser.update_one({"_id": "1"}, {"$set": {"n": 222}})
+    assert rows_of(Database(spark, path), "c") == [("1", 111)]
+    assert [json.loads(r["full_document"])["n"] for r in first.store.log().orderBy("version").collect()] == [0, 111]
+    assert [json.loads(e["fullDocument"])["n"] for e in first.collection("c").watch(full_document="updateLookup").drain(checkpoint)] == [111]
+    second.collection("other").insert_one({"_id": "x", "n": 5})  # writers of other collections do not disturb
+    first.collection("c").insert_one({"_id": "2", "n": 7})
+    assert rows_of(second, "c") == [("1", 111), ("2", 7)] and rows_of(first, "other") == [("x", 5)]
+    versions = [r["version"] for r in first.store.log().orderBy("version").collect()]
+    assert len(set(versions)) == 4
+
+
+def test_a_crash_before_the_commit_leaves_nothing(spark, tmp_path):
+    db = Database(spark, str(tmp_path / "db"))
+    c = db.collection("c")
+    c.insert_one({"_id": "1", "n": 0})
+    path = db.store.stage("c", spark.createDataFrame([("9", '{"n":9}')], "_id string, data string"))
+    db.store.staged(path).select(F.lit(0).alias("seq")).write.parquet(f"{db.store.root}/{path}/changes")
+    again = Database(spark, str(tmp_path / "db"))
+    assert rows_of(again, "c") == [("1", 0)] and len(again.collection("c").watch().drain()) == 1 and again.store.log().count() == 1
+    again.store.vacuum("c")
+    assert rows_of(again, "c") == [("1", 0)] and not again.store._exists(path)
+
+
+def test_a_crash_after_the_commit_loses_no_log_row(spark, tmp_path):
+    db = Database(spark, str(tmp_path / "db"))
+    db.store._publish = lambda *_: None
+    db.collection("c").insert_one({"_id": "1", "n": 0})
+    assert Database(spark, str(tmp_path / "db")).store.log().count() == 1
+
+
+def test_pruning_and_compaction_replay_nothing(spark, tmp_path):
+    db = Database(spark, str(tmp_path / "db"))
+    c = db.collection("c")
+    for n in range(3):
+        c.replace_one({"_id": "1"}, {"n": n}, upsert=True)
+    checkpoint = str(tmp_path / "watch")
+    assert len(c.watch().drain(checkpoint)) == 3
+    assert db.store.compact_log((0, 0)) == 2 and [json.loads(r["full_document"])["n"] for r in db.store.log().collect()] == [2]
+    assert c.watch().drain(checkpoint) == []
+    c.replace_one({"_id": "1"}, {"n": 3})
+    assert sorted(json.loads(r["full_document"])["n"] for r in db.store.log().collect()) == [2, 3]
+    assert db.store.compact_log((0, 0)) == 1
+    db.store.prune_log(db.store.log_top())
+    assert db.store.log().count() == 0 and [json.loads(e["fullDocument"])["n"] for e in c.watch(full_document="all").drain(checkpoint)] == [3]
+    c.delete_one({"_id": "1"})
+    assert [e["operationType"] for e in c.watch().drain(checkpoint)] == ["delete"]
+    assert [r["operation"] for r in Database(spark, str(tmp_path / "db")).store.log().collect()] == ["delete"]
+
+
+@pytest.mark.parametrize("share", [0.25, 100])
+def test_a_write_costs_its_own_rows_and_layers_are_merged(spark, tmp_path, monkeypatch, share):
+    monkeypatch.setattr(store, "MOST_LAYERS", 3)
+    monkeypatch.setattr(store, "SMALL_SHARE", share)
+    monkeypatch.setattr(store, "STATE_EVERY", 4)
+    db = Database(spark, str(tmp_path / "db"))
+    c = db.collection("c")
+    c.insert_many([{"_id": f"{i:03}", "n": i} for i in range(300)])
+    want = {f"{i:03}": i for i in range(300)}
+    base = db.store.table("c").layers[0]
+    for step in range(5):
+        c.update_one({"_id": f"{step:03}"}, {"$set": {"n": -step}})
+        c.delete_one({"_id": f"{200 + step}"})
+        c.insert_one({"_id": f"x{step}", "n": step})
+        want |= {f"{step:03}": -step, f"x{step}": step}
+        del want[f"{200 + step}"]
+        assert len(db.store.table("c").layers) <= 3
+    assert (db.store.table("c").layers[0] == base) == (share == 100)  # where the small layers are small, the large one is not written again
+    again = Database(spark, str(tmp_path / "db"))
+    assert rows_of(db, "c") == rows_of(again, "c") == sorted(want.items())
+    again.store.vacuum("c")
+    assert rows_of(db, "c") == sorted(want.items()) and again.collection("c").find_one({"_id": "001"})["n"] == -1
+
+
+def test_indexes_outlive_the_process(spark, tmp_path):
+    db = Database(spark, str(tmp_path / "db"))
+    c = db.collection("c")
+    c.insert_many([{"_id": "1", "n": 1, "k": "a"}, {"_id": "2", "n": 2}, {"_id": "3", "k": "b"}])
+    name = c.create_index("n", unique=True)
+    again = Database(spark, str(tmp_path / "db")).collection("c")
+    assert again.list_indexes() == [{"name": name, "key": {"n": 1}, "unique": True}]
+    for bad in (lambda: again.insert_one({"n": 2}), lambda: again.insert_many([{"n": 8}, {"n": 8}]), lambda: again.update_many({}, {"$set": {"n": 5}}), lambda: again.update_one({"_id": "1"}, {"$set": {"n": 2}})):
+        with pytest.raises(ValueError, match="unique"):
+            bad()
+    again.update_one({"_id": "1"}, {"$set": {"n": 1, "k": "z"}})
+    again.insert_one({"_id": "4"})
+    assert c.count_documents() == 4 and c.find_one({"_id": "1"})["k"] == "z"
+    again.create_index({"k": 1, "n": -1})
+    assert len(Database(spark, str(tmp_path / "db")).collection("c").list_indexes()) == 2
+    with pytest.raises(ValueError):
+        c.insert_one({"_id": "5", "n": 2})
+    assert c.drop_indexes() == 2 and again.list_indexes() == []
+
+
+def test_typed_collections_take_layers_of_other_columns(spark, tmp_path):
+    c = Database(spark, str(tmp_path / "db")).collection("t", documents=False)
+    c.insert_many(spark.createDataFrame([("a", 1), ("b", 2)], "_id string, v long"))
+    c.update_many({"v": 2}, {"$set": {"w": "new"}})
+    c.insert_many([{"_id": "c", "v": 3, "w": "x"}])
+    c.delete_one({"_id": "a"})
+    assert sorted(map(tuple, c.frame().select("_id", "v", "w").collect())) == [("b", 2, "new"), ("c", 3, "x")]
+
+
+def test_pipelines_change_documents(spark, tmp_path):
+    c = Database(spark, str(tmp_path / "db")).collection("people")
+    c.insert_many([{"_id": "1", "name": "Ada", "age": 30, "tags": ["a", "b"], "home": {"city": "L", "rooms": [1, None]}}, {"_id": "2", "name": "Bob", "age": 40, "tags": "b"}, {"_id": "3", "name": "Cy", "tags": []}, {"_id": "4", "name": None}])
+    docs = lambda stages, **kw: [json.loads(r["data"]) | {"_id": r["_id"]} for r in c.aggregate(stages, **kw).collect()]
+    assert sorted((d["_id"], d["tags"]) for d in docs([{"$unwind": "$tags"}])) == [("1", "a"), ("1", "b"), ("2", "b")]
+    assert [(d["_id"], d["tags"], d["home"]) for d in docs([{"$unwind": "$tags"}, {"$match": {"tags": "a"}}])] == [("1", "a", {"city": "L", "rooms": [1, None]})]
+    assert [d["home"] for d in docs([{"$unwind": {"path": "$home.rooms"}}])] == [{"city": "L", "rooms": 1}, {"city": "L", "rooms": None}]
+    groups = {r["_id"]: [v.toPython() if v is not None else None for v in r["names"]] for r in c.aggregate([{"$unwind": "$tags"}, {"$sort": {"name": -1}}, {"$group": {"_id": "$tags", "names": {"$push": "$name"}}}]).collect()}
+    assert groups == {"a": ["Ada"], "b": ["Bob", "Ada"]}
+    every = c.aggregate([{"$group": {"_id": None, "ages": {"$push": "$age"}, "first": {"$first": "$name"}, "k": {"$push": 1}}}]).first()
+    assert [v.toPython() if v is not None else None for v in every["ages"]] == [30, 40, None, None] and every["first"].toPython() == "Ada" and every["k"] == [1] * 4
+    assert [d["_id"] for d in docs([{"$addFields": {"level": 3, "age": "x"}}, {"$match": {"level": 3, "age": "x", "name": "Bob"}}])] == ["2"]
+    assert {r["_id"]: r["n"] for r in c.aggregate([{"$addFields": {"level": 3}}, {"$group": {"_id": "$level", "n": {"$sum": 1}}}]).collect()} == {"3": 4}
+    assert sorted(d["was"] for d in docs([{"$match": {"age": {"$gt": 1}}}, {"$addFields": {"was": "$age"}}], expressions=True)) == [30, 40]
+    out = c.aggregate([{"$match": {"_id": "1"}}, {"$project": {"age": 0, "home.city": 0, "nothing.here": 0}}])
+    assert out.columns == ["_id", "data"] and json.loads(out.first()["data"]) == {"name": "Ada", "tags": ["a", "b"], "home": {"rooms": [1, None]}}
+    assert c.find({"_id": "1"}).project({"tags": 0, "_id": 0}).frame().columns == ["data"]
+    assert c.aggregate([{"$project": {"age": 0}}, {"$match": {"age": 30}}]).count() == 0
