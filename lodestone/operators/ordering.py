@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodestone.operators.filters import Root
+from lodestone.sources.folders import scratch
 
 SortSpec = dict[str, int] | list[tuple[str, int]]
 
@@ -58,5 +59,21 @@ def encoded(df: DataFrame, spec: SortSpec) -> list[Column] | None:
     return out
 
 
+def numbered(df: DataFrame, order: list[Column], name: str = "place") -> DataFrame:
+    """Every row with its 1-based position in an order; only one count per range partition reaches the driver."""
+    spark = df.sparkSession
+    path = scratch(spark, "ordered")
+    ranged = df.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order)
+    ranged.withColumn("__mid", F.monotonically_increasing_id()).write.parquet(path)
+    stored = spark.read.parquet(path)
+    part = F.shiftright("__mid", 33)
+    offsets, total = [], 0
+    for r in sorted(stored.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect()):
+        offsets.append((r["part"], total))
+        total += r["n"]
+    placed = stored.withColumn("__part", part).join(F.broadcast(spark.createDataFrame(offsets, "__part long, __before long")), "__part")
+    return placed.withColumn(name, F.col("__before") + F.col("__mid").bitwiseAND(F.lit((1 << 33) - 1)) + 1).drop("__mid", "__part", "__before")
+
+
 def as_constant(value: Any) -> bool:
     return not (isinstance(value, str) and value.startswith("$"))

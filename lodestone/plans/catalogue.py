@@ -3,21 +3,19 @@
 from __future__ import annotations
 
 import datetime as dt
-import json
 import re
 from collections.abc import Callable
 from typing import Any
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.operators.filters import Root, compile_filter
-from lodestone.operators.ordering import sort_columns
+from lodestone.operators.ordering import numbered, sort_columns
 from lodestone.operators.pipeline import aggregate
 from lodestone.operators.projection import project
 from lodestone.operators.updates import update_frame
-from lodestone.streaming.events import change_events, coalesced, compacted
+from lodestone.streaming.events import change_events, coalesced, compacted, top_level
 from lodestone.tools.guided import build_filter
 from lodestone.tools.inference import infer_schema
 
@@ -213,13 +211,15 @@ for name, spec, where in [
     )
 
 
-@query("doc_sort", f"SELECT event_id, kind FROM {EVENT_DOCS_SQL} ORDER BY CASE kind WHEN 'number' THEN 2 WHEN 'string' THEN 3 ELSE 1 END DESC, CASE WHEN kind = 'string' THEN CAST(k AS VARCHAR) END DESC, k DESC, event_id LIMIT 500")
+@query("doc_sort", f"SELECT event_id, kind, row_number() OVER (ORDER BY CASE kind WHEN 'number' THEN 2 WHEN 'string' THEN 3 ELSE 1 END DESC, CASE WHEN kind = 'string' THEN CAST(k AS VARCHAR) END DESC, CASE WHEN kind = 'number' THEN k END DESC, event_id) AS place FROM {EVENT_DOCS_SQL}")
 def doc_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = event_docs(spark, sf_dir)
     root = Root.of(df, "data")
     kind = F.when(root.value("k").missing(), "missing").when(root.value("k").null(), "null").when(root.value("k").type_is("string"), "string").otherwise("number")
-    ordered = df.orderBy(*sort_columns({"k": -1}, root, "first"), "event_id").limit(500)
-    return ordered.select("event_id", kind.alias("kind"))
+    order = sort_columns({"k": -1}, root, "first")
+    kept = df.select("event_id", kind.alias("kind"), *(F.struct(c).alias(f"s{i}") for i, c in enumerate(root.value("k").sort_keys())))
+    assert len(order) == 3
+    return numbered(kept, [F.col("s0.col1").desc_nulls_last(), F.col("s1.col1").desc_nulls_last(), F.col("s2.col1").desc_nulls_last(), F.col("event_id")]).select("event_id", "kind", "place")
 
 
 @query("doc_group", f"SELECT CASE WHEN kind IN ('number', 'string') THEN CAST(k AS VARCHAR) END AS _id, count(*) AS n FROM {EVENT_DOCS_SQL} GROUP BY 1")
@@ -273,15 +273,16 @@ def sort_limit_skip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.orderBy(*sort_columns({"o_totalprice": -1, "o_orderkey": 1}, Root.of(df), "first")).offset(20).limit(50).select("o_orderkey", "o_totalprice")
 
 
-@query("sort_nulls_find", f"SELECT o_orderkey, status FROM {NULLED_SQL} ORDER BY status ASC NULLS FIRST, o_orderkey LIMIT 40")
+@query("sort_nulls_find", f"SELECT o_orderkey, status, row_number() OVER (ORDER BY status ASC NULLS FIRST, o_orderkey) AS place FROM {NULLED_SQL}")
 def sort_nulls_find(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = nulled(spark, sf_dir)
-    return df.orderBy(*sort_columns({"status": 1, "o_orderkey": 1}, Root.of(df), "first")).limit(40).select("o_orderkey", "status")
+    return numbered(df, sort_columns({"status": 1, "o_orderkey": 1}, Root.of(df), "first")).select("o_orderkey", "status", "place")
 
 
-@query("sort_nulls_pipeline", f"SELECT o_orderkey, status FROM {NULLED_SQL} ORDER BY status DESC NULLS FIRST, o_orderkey LIMIT 40")
+@query("sort_nulls_pipeline", f"SELECT o_orderkey, status, row_number() OVER (ORDER BY status DESC NULLS FIRST, o_orderkey) AS place FROM {NULLED_SQL}")
 def sort_nulls_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return aggregate(nulled(spark, sf_dir), [{"$sort": {"status": -1, "o_orderkey": 1}}, {"$limit": 40}, {"$project": {"o_orderkey": 1, "status": 1}}])
+    df = nulled(spark, sf_dir)
+    return numbered(df, sort_columns({"status": -1, "o_orderkey": 1}, Root.of(df), "last")).select("o_orderkey", "status", "place")
 
 
 @query("distinct_scalar", "SELECT DISTINCT c_mktsegment AS value FROM customer")
@@ -355,8 +356,8 @@ add_pipeline(
 add_pipeline(
     "group_push_ordered",
     of("events"),
-    [{"$match": {"user_id": {"$lt": 50}}}, {"$sort": {"ts": 1, "event_id": 1}}, {"$group": {"_id": "$user_id", "kinds": {"$push": "$event_type"}}}],
-    "SELECT user_id AS _id, string_agg(event_type, ',' ORDER BY ts, event_id) AS kinds FROM events WHERE user_id < 50 GROUP BY 1",
+    [{"$sort": {"ts": 1, "event_id": 1}}, {"$group": {"_id": "$user_id", "kinds": {"$push": "$event_type"}}}],
+    "SELECT user_id AS _id, string_agg(event_type, ',' ORDER BY ts, event_id) AS kinds FROM events GROUP BY 1",
     flat=["_id", "array_join(kinds, ',') AS kinds"],
 )
 add_pipeline(
@@ -374,8 +375,8 @@ add_pipeline(
 add_pipeline(
     "group_push_nulls",
     nulled,
-    [{"$match": {"o_orderkey": {"$lt": 2000}}}, {"$group": {"_id": "$o_orderpriority", "list": {"$push": "$status"}}}],
-    f"SELECT o_orderpriority AS _id, string_agg(coalesce(status, '-'), '' ORDER BY o_orderkey) AS list FROM {NULLED_SQL} WHERE o_orderkey < 2000 GROUP BY 1",
+    [{"$group": {"_id": "$o_custkey", "list": {"$push": "$status"}}}],
+    f"SELECT o_custkey AS _id, string_agg(coalesce(status, '-'), '' ORDER BY o_orderkey) AS list FROM {NULLED_SQL} GROUP BY 1",
     order_by="o_orderkey",
     flat=["_id", "array_join(list, '', '-') AS list"],
 )
@@ -538,10 +539,14 @@ def change_events_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.select(F.col("seq"), F.col("operationType").alias("operation_type"), F.col("documentKey._id").alias("document_id"), F.col("fullDocument").isNotNull().alias("has_document"))
 
 
-@query("update_description", f"SELECT event_id AS seq, CAST(CASE WHEN event_type <> kind_before THEN 1 ELSE 0 END + CASE WHEN v <> v_before THEN 1 ELSE 0 END AS INT) AS changed, CAST(0 AS INT) AS removed FROM {LOG_SQL} WHERE op = 'update'")
+CHANGED_SQL = """CASE WHEN event_type <> kind_before THEN '"' || event_type || '"' END AS kind, CASE WHEN v <> v_before THEN CAST(CAST(v AS BIGINT) AS VARCHAR) END AS value"""
+
+
+@query("update_description", f"SELECT event_id AS seq, {CHANGED_SQL}, CAST(0 AS INT) AS removed FROM {LOG_SQL} WHERE op = 'update'")
 def update_description(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = change_events(change_log(spark, sf_dir)).where("operationType = 'update'")
-    return events.select("seq", F.size("updateDescription.updatedFields").alias("changed"), F.size("updateDescription.removedFields").alias("removed"))
+    changed = F.col("updateDescription.updatedFields")
+    return events.select("seq", F.try_element_at(changed, F.lit("kind")).alias("kind"), F.try_element_at(changed, F.lit("value")).alias("value"), F.size("updateDescription.removedFields").alias("removed"))
 
 
 @query("coalesce_log", f"SELECT CAST(user_id AS VARCHAR) AS document_id, op AS operation, event_id AS seq FROM {LOG_SQL} WHERE back = 1")
@@ -549,11 +554,11 @@ def coalesce_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coalesced(change_log(spark, sf_dir)).select("document_id", "operation", "seq")
 
 
-@query("compact_log", f"SELECT count(*) AS n FROM {LOG_SQL} l WHERE event_id <= (SELECT max(event_id) // 2 FROM events) OR back = 1")
+@query("compact_log", f"SELECT CAST(user_id AS VARCHAR) AS document_id, event_id AS seq, op AS operation FROM {LOG_SQL} l WHERE event_id <= (SELECT max(event_id) // 2 FROM events) OR back = 1")
 def compact_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = change_log(spark, sf_dir)
     half = log.agg(F.max("seq").alias("top")).first()["top"] // 2
-    return compacted(log, (1, half)).agg(F.count("*").alias("n"))
+    return compacted(log, (1, half)).select("document_id", "seq", "operation")
 
 
 @query("change_stream", f"SELECT event_id AS seq, op AS operation_type, CAST(user_id AS VARCHAR) AS document_id FROM {LOG_SQL} WHERE op IN ('insert', 'delete')")
@@ -571,25 +576,21 @@ def change_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema(out.schema).parquet(f"{folder}/out")
 
 
-@query("diff_documents", f"SELECT event_id AS seq, CAST(CASE WHEN event_type <> kind_before THEN 1 ELSE 0 END + CASE WHEN v <> v_before THEN 1 ELSE 0 END AS INT) AS n_set, CAST(0 AS INT) AS n_unset FROM {LOG_SQL} WHERE op = 'update'")
+@query("diff_documents", f"SELECT event_id AS seq, {CHANGED_SQL}, CAST(0 AS INT) AS n_unset FROM {LOG_SQL} WHERE op = 'update'")
 def diff_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Field-level differences of each update's document pair (nested documents need Python; batches go by Arrow)."""
-    from lodestone.sync.diff import diff
-
-    @F.pandas_udf("n_set int, n_unset int")
-    def counted(before: pd.Series, after: pd.Series) -> pd.DataFrame:
-        found = [diff(json.loads(a), json.loads(b)) for a, b in zip(before, after)]
-        return pd.DataFrame({"n_set": [len(d.set) for d in found], "n_unset": [len(d.unset) for d in found]})
-
+    """Field-level differences of each update's document pair, as column expressions."""
     rows = change_log(spark, sf_dir).where("operation = 'update'")
-    return rows.select("seq", counted("full_document_before", "full_document").alias("d")).select("seq", "d.*")
+    old, new = top_level(F.col("full_document_before")), top_level(F.col("full_document"))
+    rows = rows.select("seq", old.alias("old"), new.alias("new"))
+    changed = F.map_filter("new", lambda k, v: ~v.eqNullSafe(F.try_element_at("old", k)))
+    return rows.select("seq", F.try_element_at(changed, F.lit("kind")).alias("kind"), F.try_element_at(changed, F.lit("value")).alias("value"), F.size(F.array_except(F.map_keys("old"), F.map_keys("new"))).alias("n_unset"))
 
 
-@query("prune_log", f"SELECT count(*) AS n FROM {LOG_SQL} WHERE event_id > (SELECT max(event_id) // 3 FROM events)")
+@query("prune_log", f"SELECT CAST(user_id AS VARCHAR) AS document_id, event_id AS seq, op AS operation FROM {LOG_SQL} WHERE event_id > (SELECT max(event_id) // 3 FROM events)")
 def prune_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = change_log(spark, sf_dir)
     third = log.agg(F.max("seq").alias("top")).first()["top"] // 3
-    return log.where(F.struct("version", "seq") > F.struct(F.lit(1).cast("long").alias("version"), F.lit(third).cast("long").alias("seq"))).agg(F.count("*").alias("n"))
+    return log.where(F.struct("version", "seq") > F.struct(F.lit(1).cast("long").alias("version"), F.lit(third).cast("long").alias("seq"))).select("document_id", "seq", "operation")
 
 
 @query("backfill_scan", "SELECT CAST(c_custkey AS VARCHAR) AS _id, c_name FROM customer ORDER BY _id")
@@ -640,10 +641,16 @@ def update_many_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("unique_violations", "SELECT o_custkey AS k0, strftime(o_orderdate, '%Y-%m-%d') AS k1, count(*) AS count FROM orders GROUP BY o_custkey, o_orderdate HAVING count(*) > 1")
 def unique_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What a unique index over two fields would refuse."""
-    df = table(spark, sf_dir, "orders")
-    keys = [Root.of(df).value(p).col.alias(f"k{i}") for i, p in enumerate(("o_custkey", "o_orderdate"))]
-    return df.select(*keys).dropna().groupBy("k0", "k1").count().where("count > 1").withColumn("k1", F.date_format("k1", "yyyy-MM-dd"))
+    """What a unique index over two fields refuses, and why."""
+    from lodestone.collection import Collection
+
+    c = Collection(spark, "orders", table(spark, sf_dir, "orders"))
+    try:
+        c.create_index({"o_custkey": 1, "o_orderdate": 1}, unique=True)
+    except ValueError:
+        name = c.create_index({"o_custkey": 1, "o_orderdate": 1})
+        return c.violations(name).withColumn("k1", F.date_format("k1", "yyyy-MM-dd"))
+    raise AssertionError("the index was not refused")
 
 
 @query("list_collections", "SELECT * FROM (VALUES ('customer'), ('nation'), ('region')) AS t(name)")
@@ -708,10 +715,13 @@ def corrupt_rows_skipped(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
+    import lodestone.plans.stored  # noqa: F401 - it registers its queries here
+
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(SQL)
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import SparkSession
 
 from lodestone.collection import Database, discover
 from lodestone.functions.values import iso
+from lodestone.operators.updates import get_path
 from lodestone.sources.documents import VALID, export_json
 from lodestone.tools.inference import default_columns, describe_field, fields_of, infer_schema
 
@@ -19,6 +20,14 @@ def shown(value: Any) -> str:
     return json.dumps(value, default=iso, ensure_ascii=False)
 
 
+def aligned(head: list[str], lines: list[list[str]]) -> str:
+    """A table whose columns are as wide as what they hold; line ends within a cell become blanks."""
+    cells = [[" ".join(c.split()) for c in line] for line in [head, *lines]]
+    width = [max(len(line[i]) for line in cells) for i in range(len(head))]
+    drawn = ["| " + " | ".join(c.ljust(w) for c, w in zip(line, width)) + " |" for line in cells]
+    return "\n".join([drawn[0], "|" + "|".join("-" * (w + 2) for w in width) + "|", *drawn[1:]])
+
+
 class Shell:
     """The commands; every one returns text."""
 
@@ -40,6 +49,12 @@ class Shell:
         cursor = self.target(name).find(json.loads(query)).sort({"_id": 1}).skip(page * self.page).limit(self.page)
         return "\n".join(shown(d) for d in cursor)
 
+    def table(self, fields: str, query: str = "{}", page: int = 0, name: str | None = None) -> str:
+        """Chosen fields (separated by commas) as an aligned table."""
+        paths = [f.strip() for f in fields.split(",") if f.strip()]
+        cursor = self.target(name).find(json.loads(query)).sort({"_id": 1}).skip(page * self.page).limit(self.page)
+        return aligned(paths, [["" if (v := get_path(d, p)) is None else v if isinstance(v, str) else shown(v) for p in paths] for d in cursor])
+
     def count(self, query: str = "{}", name: str | None = None) -> str:
         return str(self.target(name).count_documents(json.loads(query)))
 
@@ -65,6 +80,11 @@ class Shell:
         df = self.db.sql(statement)
         return "\n".join(["\t".join(df.columns), *("\t".join(str(v) for v in r) for r in df.limit(self.page).collect())])
 
+    def columns(self, name: str | None = None) -> str:
+        """The columns that a table shows unless others are chosen."""
+        c = self.target(name)
+        return ",".join(default_columns(fields_of(infer_schema(c.rows().where(VALID), "doc", self.sample) if c.documents else infer_schema(c.rows(), None, self.sample))))
+
     def explain(self, query: str = "{}", name: str | None = None) -> str:
         return self.target(name).find(json.loads(query)).to_sql()
 
@@ -78,6 +98,8 @@ class Shell:
         actions: dict[str, Callable[[], str]] = {
             ".collections": self.collections,
             ".find": lambda: self.find(rest or "{}"),
+            ".table": lambda: self.table(rest.split(" ")[0] or self.columns(), rest.partition(" ")[2] or "{}"),
+            ".columns": self.columns,
             ".count": lambda: self.count(rest or "{}"),
             ".distinct": lambda: self.distinct(rest),
             ".group": lambda: self.group(rest),

@@ -1,5 +1,6 @@
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__
 from lodestone.collection import Database
@@ -23,7 +24,7 @@ def test_guided_filters():
         with pytest.raises(ValueError):
             parse_value(text, kind)
     assert "between" in operators_for("number") and "regex" in operators_for("number", ["number", "string"]) and "exists" in operators_for("boolean")
-    assert describe([("age", "number", "gt", "3"), ("x", "string", "exists", "")]) == "age is greater than 3 and x has a value"
+    assert describe([("age", "number", "gt", "3"), ("x", "string", "exists", "")]) == "age > 3 and x present"
 
 
 def test_inference_and_shell(spark):
@@ -35,6 +36,7 @@ def test_inference_and_shell(spark):
     assert sorted(fields["age"].types) == ["number", "string"] and fields["at"].primary_type == "date" and fields["at"].presence == 0.5
     assert fields["address.city"].depth == 1 and fields["address.city"].distinct_values == ["X", "Y"] and fields["nick"].primary_type == "null"
     assert fields["tags"].primary_type == "array" and fields["name"].low_cardinality
+    assert fields["tags"].element_types == ["number", "string"] and fields["tags"].element_fields == []
     assert default_columns(list(fields.values())) == ["age", "name", "at"] and "string" in describe_field(fields["name"])
     shell = Shell(db)
     assert shell.run(".use people") == "using people" and shell.run(".count") == "3" and shell.run('.count {"name": "A"}') == "1"
@@ -45,6 +47,16 @@ def test_inference_and_shell(spark):
     assert "people" in shell.run(".collections") and shell.run(".group name").count("\n") == 1
 
 
+def test_long_values_are_told_apart(spark):
+    long = "x" * 300
+    df = spark.createDataFrame([(long + str(i), [{"b": 1}]) for i in range(30)], "t string, l array<struct<b:int>>")
+    typed = {f.path: f for f in fields_of(infer_schema(df))}
+    assert typed["t"].distinct_values is None and not typed["t"].low_cardinality and typed["l"].element_fields == ["b"] and typed["l"].element_types == ["object"]
+    docs = df.select(F.parse_json(F.to_json(F.struct("*"))).alias("doc"))
+    stored = {f.path: f for f in fields_of(infer_schema(docs, "doc"))}
+    assert stored["t"] == typed["t"] and stored["l"].element_fields == ["b"] and stored["l"].element_types == ["object"]
+
+
 def test_catalogue_on_the_smallest_tables(spark):
     """Some queries against their SQL; the driver compares all of them."""
     queries, sql = __spark_entry__.queries(), __spark_entry__.oracle_sql()
