@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
+import ctypes
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -37,6 +36,16 @@ def bound_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+LIBC = ctypes.CDLL(None)
+
+
+def tidy() -> None:
+    """Give memory that a task no longer uses back to the system: Python workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(LIBC, "malloc_trim"):
+        LIBC.malloc_trim(0)
+
+
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
     """Apply ``fn`` to every Arrow batch of ``df``; ``fn`` sees one batch at a time."""
     bound_batches(df.sparkSession)
@@ -46,22 +55,18 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | N
             out = fn(batch)
             if out is not None:
                 yield out
+        tidy()
 
     return df.mapInArrow(run, schema)
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``.
-
-    Where the setting is missing (local tests) a folder is chosen: a temporary one for a local master, else one
-    below the warehouse, which all executors share.
-    """
+    """The folder named by ``spark.checkpoint.dir``, which the driver and all executors share."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if not folder:
-            local = sc.master.startswith("local[") or sc.master == "local"
-            folder = tempfile.mkdtemp(prefix="checkpoint-") if local else os.path.join(spark.conf.get("spark.sql.warehouse.dir"), "_checkpoints")
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(folder)
     return sc.getCheckpointDir()
 

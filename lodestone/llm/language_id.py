@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import bound_batches, map_batches, slices
+from lodestone.llm.common import bound_batches, map_batches, slices, tidy
 
 ORDER = 4
 UNKNOWN = "und"
@@ -229,6 +229,7 @@ def four_gram_counts(training: DataFrame) -> DataFrame:
             if sum(len(k) for k, _ in held.values()) > FLUSH_AT:
                 yield from rows()
         yield from rows()
+        tidy()
 
     return training.mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from lodestone.llm.common import bound_batches
+from lodestone.llm.common import bound_batches, tidy
 from lodestone.llm.merging import PairTable, merge_words
 
 WINDOW, END_ID = 2048, 1
@@ -42,7 +42,7 @@ SENTENCE_PENALTY, STRIDE, STRIDE_PENALTY = 16, 128, 64
 #: Tokens that are planned at once.
 BLOCK = 1 << 19
 #: Words and ids that a worker remembers before it starts anew.
-REMEMBERED, REMEMBERED_IDS = 400_000, 1 << 22
+REMEMBERED, REMEMBERED_IDS = 200_000, 1 << 21
 #: The letters, digits and white space among the Latin-1 characters.
 LETTERS, NUMBERS, SPACES = "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼-¾", r"\t-\r \x85\xa0"
 #: The vocabulary's matches in lower-case Latin-1 words, and the line ends between these.
@@ -295,6 +295,7 @@ def pack_documents(docs: DataFrame, vocabulary: str | None = None, window: int =
                 start += n
             yield rows(pieces)
         yield rows(packer.flush(True))
+        tidy()
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return source.mapInArrow(run, schema)

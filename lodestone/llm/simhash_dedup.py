@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import bound_batches, cut, map_batches, shuffle_width
+from lodestone.llm.common import bound_batches, cut, map_batches, shuffle_width, tidy
 from lodestone.llm.components import components
 from lodestone.llm.similar_sets import similar_sets
 
@@ -183,6 +183,7 @@ def search_shards(members: DataFrame, radius: int) -> DataFrame:
             held = [whole[last:]]
         if held and (out := emit(np.concatenate(held))) is not None:
             yield out
+        tidy()
 
     return members.mapInArrow(run, "a long, b long")
 

@@ -3,16 +3,20 @@
 Every document is reference text for all documents with a larger doc_id. Its words are hashed; each window of
 ``WINDOW`` words is assigned to the smallest ``GRAM``-word hash in it (its anchor), so equal windows have equal
 anchors wherever they stand. The windows of one anchor form a reference block: the words from the first window's
-start to the last one's end. The index maps a block's 128-bit hash to the smallest doc_id that has it.
-
-A document is then parsed greedily: a factor is the longest run of blocks that the index knows from smaller
-documents, and all its words are a duplicate span (a block has a window's length at least). At factor boundaries,
-where documents share an anchor but not the block around it, the windows of the block are looked up one by one in
-an index of single windows, so that spans are exact to the word. Blocks whose anchor only one document has need
+start to the last one's end. The index maps a block - its anchor's hash and its own, 128 bits - to the first place that has it: the
+smallest doc_id and the first word there.
+
+A document is then factored greedily from its start: a factor begins at the next block that the index knows from a
+smaller document and goes on as long as the following block stands in the same reference document at the place where
+the reference text goes on. So each factor is (start, length, reference document, reference start), as long as that
+reference allows, and all its words are a duplicate span (a block has a window's length at least). At factor
+boundaries, where documents share an anchor but not the block around it, the windows of the block are looked up one by
+one in an index of single windows, so that spans are exact to the word. Blocks whose anchor only one document has need
 neither index.
 
-Nothing is compared pairwise and no group is collected: both indexes are minimum aggregates (combined before the
-shuffle), and the joins back have plain exchanges on both sides, so adaptive execution can split a hot passage.
+Nothing is compared pairwise: both indexes are minimum aggregates (combined before the shuffle), and the joins back have
+plain exchanges on both sides, so adaptive execution can split a hot passage. What is gathered per document is 16 bytes
+a block or window that repeats, less than the text that it stands for.
 
 Null text has no words; null doc_ids are neither reference nor deduplicated; rows that share a doc_id count as one
 document for the order but are returned each; texts under a window's length are kept; an empty table gives no rows.
@@ -31,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.llm.common import bound_batches, cut, map_batches
+from lodestone.llm.common import bound_batches, cut, map_batches, tidy
 
 WINDOW, GRAM = 50, 12
 REMEMBERED = 200_000
@@ -77,7 +81,7 @@ class Parsed:
         n = len(words)
         if n < WINDOW:
             self.anchors = np.zeros(0, np.int64)
-            self.first = self.last = self.gram = self.block1 = self.block2 = np.zeros(0, np.int64)
+            self.first = self.last = self.gram = self.block = np.zeros(0, np.int64)
             return
         POWERS.reach(n + 1)
         h = np.frombuffer(b"".join(map(HASHES.__getitem__, words)), "<u8").reshape(n, 2)
@@ -99,7 +103,7 @@ class Parsed:
         self.first = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
         self.last = np.r_[self.first[1:], len(place)] - 1
         self.gram = grams[place[self.first]].view(np.int64)
-        self.block1, self.block2 = (self.span(i, self.first, self.last + WINDOW).view(np.int64) for i in range(2))
+        self.block = self.span(0, self.first, self.last + WINDOW).view(np.int64)
 
     def span(self, i: int, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Hash of words start..end-1; the length takes part."""
@@ -131,52 +135,58 @@ def packed_pairs(value: bytes | None) -> np.ndarray:
 
 
 def gather(condition: Column, *values: Column) -> Column:
-    """The 64-bit values of the rows that meet the condition, as one big-endian byte string."""
-    row = F.concat(*(F.unhex(F.lpad(F.hex(v), 16, "0")) for v in values))
-    return F.array_join(F.collect_set(F.when(condition, F.hex(row))), "")
+    """The numbers of the rows that meet the condition, 16 bytes each, as one big-endian byte string."""
+    row = F.concat(*(F.lpad(F.hex(v), 16, "0") for v in values))
+    return F.array_join(F.collect_set(F.when(condition, row)), "")
+
+
+#: One block's factor: its number in the document, the reference's first word there, the reference document.
+FACTOR = np.dtype([("block", ">i4"), ("at", ">i4"), ("doc", ">i8")])
 
 
 def parse_blocks(docs: DataFrame) -> DataFrame:
-    """(_id, _gram, _block1, _block2: arrays) of the documents that take part."""
+    """(_id, _row, _gram, _block, _at: arrays) of the documents that take part; ``_row`` tells texts of one id apart."""
     bound_batches(docs.sparkSession)
-    source = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").alias("_text"))
-    names = ["_id", "_gram", "_block1", "_block2"]
+    source = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("_id"), F.xxhash64("text").alias("_row"), F.col("text").cast("string").alias("_text"))
+    names = ["_id", "_row", "_gram", "_block", "_at"]
 
     def one(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = [Parsed(text.encode("utf-8", "surrogatepass").split()) for text in batch.column("_text").to_pylist()]
         offsets = pa.array(np.concatenate([[0], np.cumsum([len(p.first) for p in found])]), pa.int32())
-        lists = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([getattr(p, k) for p in found] or [np.zeros(0, np.int64)]).astype(np.int64))) for k in ("gram", "block1", "block2")]
-        return pa.RecordBatch.from_arrays([batch.column("_id"), *lists], names=names)
+        kinds = (("gram", np.int64), ("block", np.int64), ("first", np.int32))
+        lists = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([getattr(p, k) for p in found] or [np.zeros(0, t)]).astype(t))) for k, t in kinds]
+        return pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("_row"), *lists], names=names)
 
-    return map_batches(source, one, "_id long, _gram array<long>, _block1 array<long>, _block2 array<long>")
+    return map_batches(source, one, "_id long, _row long, _gram array<long>, _block array<long>, _at array<int>")
 
 
 def compressed(docs: DataFrame) -> DataFrame:
-    """(_id, _rest, _z): the texts as they are shuffled."""
+    """(_id, _row, _rest, _z): the texts as they are shuffled."""
     rest = [c for c in docs.columns if c != "text"]
-    source = docs.select(F.col("doc_id").cast("long").alias("_id"), F.struct(*rest).alias("_rest"), F.col("text").cast("string").alias("_text"))
-    schema = T.StructType([source.schema["_id"], source.schema["_rest"], T.StructField("_z", T.BinaryType())])
+    source = docs.select(F.col("doc_id").cast("long").alias("_id"), F.xxhash64("text").alias("_row"), F.struct(*rest).alias("_rest"), F.col("text").cast("string").alias("_text"))
+    schema = T.StructType([source.schema["_id"], source.schema["_row"], source.schema["_rest"], T.StructField("_z", T.BinaryType())])
 
     def one(batch: pa.RecordBatch) -> pa.RecordBatch:
         press = zstandard.ZstdCompressor(level=3)
         z = [None if t is None else press.compress(t.encode("utf-8", "surrogatepass")) for t in batch.column("_text").to_pylist()]
-        return pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("_rest"), pa.array(z, pa.binary())], names=schema.names)
+        return pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("_row"), batch.column("_rest"), pa.array(z, pa.binary())], names=schema.names)
 
     return map_batches(source, one, schema)
 
 
 def duplicate_index(parsed: DataFrame) -> DataFrame:
-    """Per document: ``_dups`` the blocks known from smaller documents, ``_open`` the anchors at factor boundaries."""
-    zipped = F.explode(F.arrays_zip("_gram", "_block1", "_block2"))
-    blocks = parsed.select("_id", zipped.alias("b")).select("_id", F.col("b._gram").alias("gram"), F.col("b._block1").alias("b1"), F.col("b._block2").alias("b2"))
-    grams = blocks.groupBy("gram").agg(F.min("_id").alias("low"), F.max("_id").alias("high"), (F.min("b1") != F.max("b1")).alias("mixed"))
+    """Per document: ``_dups`` the blocks known from smaller documents with their first place, ``_open`` the anchors at factor boundaries."""
+    zipped = F.posexplode(F.arrays_zip("_gram", "_block", "_at")).alias("no", "b")
+    blocks = parsed.select("_id", "_row", zipped).select("_id", "_row", "no", F.col("b._gram").alias("gram"), F.col("b._block").alias("block"), F.col("b._at").alias("at"))
+    grams = blocks.groupBy("gram").agg(F.min("_id").alias("low"), F.max("_id").alias("high"), (F.min("block") != F.max("block")).alias("mixed"))
     shared = cut(grams.where("low < high").select("gram", "mixed"))
-    mine = cut(blocks.join(shared, "gram").select("_id", "gram", "b1", "b2", "mixed"))
-    first = cut(mine.groupBy("b1", "b2").agg(F.min("_id").alias("first")))
-    placed = mine.join(first, ["b1", "b2"]).withColumn("dup", F.col("_id") > F.col("first")).where("dup or mixed")
+    mine = cut(blocks.join(shared, "gram").select("_id", "_row", "no", "gram", "block", "at", "mixed"))
+    first = cut(mine.groupBy("gram", "block").agg(F.min(F.struct("_id", "at")).alias("first")))
+    placed = mine.join(first, ["gram", "block"]).withColumn("dup", F.col("_id") > F.col("first._id")).where("dup or mixed")
+    place = F.shiftleft(F.col("no").cast("long"), 32).bitwiseOR(F.col("first.at").cast("long"))
     return cut(
-        placed.groupBy("_id").agg(
-            gather(F.col("dup"), F.col("b1"), F.col("b2")).alias("_dups"),
+        placed.groupBy("_id", "_row").agg(
+            gather(F.col("dup"), place, F.col("first._id")).alias("_dups"),
             gather(~F.col("dup"), F.col("gram")).alias("_open"),
         )
     )
@@ -184,7 +194,7 @@ def duplicate_index(parsed: DataFrame) -> DataFrame:
 
 def boundary_windows(texts: DataFrame, index: DataFrame) -> DataFrame:
     """Per document: ``_wins``, the single windows at factor boundaries that smaller documents have."""
-    todo = texts.select("_id", "_z").join(index.where("_open <> ''"), "_id")
+    todo = texts.select("_id", "_row", "_z").join(index.where("_open <> ''"), ["_id", "_row"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpress = zstandard.ZstdDecompressor()
@@ -193,7 +203,7 @@ def boundary_windows(texts: DataFrame, index: DataFrame) -> DataFrame:
             for doc, z, dups, grams in zip(*(batch.column(c).to_pylist() for c in ("_id", "_z", "_dups", "_open"))):
                 p = Parsed(unpress.decompress(z).split())
                 opened = np.isin(p.gram, np.frombuffer(bytes.fromhex(grams), ">i8").astype(np.int64))
-                opened &= ~known(p.block1, p.block2, packed_pairs(bytes.fromhex(dups or "")))
+                opened[known_blocks(dups)["block"]] = False
                 a, b = p.windows(p.starts_of(np.flatnonzero(opened)))
                 ids.append(np.full(len(a), doc, np.int64))
                 w1.append(a)
@@ -208,29 +218,63 @@ def boundary_windows(texts: DataFrame, index: DataFrame) -> DataFrame:
     return cut(late.groupBy("_id").agg(gather(F.lit(True), F.col("w1"), F.col("w2")).alias("_wins")))
 
 
-def removal_mask(p: Parsed, dups: np.ndarray, wins: np.ndarray) -> np.ndarray:
+def known_blocks(dups: str | None) -> np.ndarray:
+    """The blocks that the index knows, in the document's order."""
+    found = np.frombuffer(bytes.fromhex(dups or ""), FACTOR)
+    return found[np.argsort(found["block"], kind="stable")]
+
+
+def factors_of(p: Parsed, dups: str | None) -> np.ndarray:
+    """The document's factors as rows (start, length, reference document, reference start)."""
+    found = known_blocks(dups)
+    if not len(found):
+        return np.zeros((0, 4), np.int64)
+    block, at, doc = (found[k].astype(np.int64) for k in ("block", "at", "doc"))
+    start, end = p.first[block], p.last[block] + WINDOW
+    goes_on = (block[1:] == block[:-1] + 1) & (doc[1:] == doc[:-1]) & (at[1:] - at[:-1] == start[1:] - start[:-1])
+    heads = np.flatnonzero(np.r_[True, ~goes_on])
+    tails = np.r_[heads[1:], len(block)] - 1
+    return np.stack([start[heads], end[tails] - start[heads], doc[heads], at[heads]], axis=1)
+
+
+def removal_mask(p: Parsed, factors: np.ndarray, wins: np.ndarray) -> np.ndarray:
     """The words that factors or boundary windows cover."""
     n = len(p.words)
     edge = np.zeros(n + 1, np.int64)
-    if n >= WINDOW:
-        blocks = np.flatnonzero(known(p.block1, p.block2, dups))
-        np.add.at(edge, p.first[blocks], 1)
-        np.add.at(edge, p.last[blocks] + WINDOW, -1)
-        if len(wins):
-            starts = np.arange(n - WINDOW + 1)
-            hit = np.flatnonzero(known(*p.windows(starts), wins))
-            np.add.at(edge, hit, 1)
-            np.add.at(edge, hit + WINDOW, -1)
+    np.add.at(edge, factors[:, 0], 1)
+    np.add.at(edge, factors[:, 0] + factors[:, 1], -1)
+    if len(wins) and n >= WINDOW:
+        starts = np.arange(n - WINDOW + 1)
+        hit = np.flatnonzero(known(*p.windows(starts), wins))
+        np.add.at(edge, hit, 1)
+        np.add.at(edge, hit + WINDOW, -1)
     return np.cumsum(edge[:n]) > 0
 
 
+def factor_documents(docs: DataFrame) -> DataFrame:
+    """(doc_id, start, length, ref_doc, ref_start): the factors of every row with a doc_id, counted in words."""
+    texts = compressed(docs.select("doc_id", "text"))
+    joined = texts.join(duplicate_index(cut(parse_blocks(docs))).where("_dups <> ''").select("_id", "_row", "_dups"), ["_id", "_row"])
+
+    def one(batch: pa.RecordBatch) -> pa.RecordBatch:
+        unpress = zstandard.ZstdDecompressor()
+        rows = [np.zeros((0, 5), np.int64)]
+        for doc, z, dups in zip(*(batch.column(c).to_pylist() for c in ("_id", "_z", "_dups"))):
+            found = factors_of(Parsed(unpress.decompress(z).split()), dups)
+            rows.append(np.concatenate([np.full((len(found), 1), doc), found], axis=1))
+        table = np.concatenate(rows)
+        return pa.RecordBatch.from_arrays([pa.array(table[:, i].copy()) for i in range(5)], names=["doc_id", "start", "length", "ref_doc", "ref_start"])
+
+    return map_batches(joined, one, "doc_id long, start long, length long, ref_doc long, ref_start long")
+
+
 def parse_documents(docs: DataFrame, keep_rest: bool, digest: bool) -> DataFrame:
     """Every row with its word counts and the text without duplicate spans (or that text's SHA-256)."""
     spark = docs.sparkSession
     texts = compressed(docs if keep_rest else docs.select("doc_id", "text"))
     index = duplicate_index(cut(parse_blocks(docs)))
     wins = boundary_windows(texts, index)
-    joined = texts.join(index.select("_id", "_dups"), "_id", "left").join(wins, "_id", "left")
+    joined = texts.join(index.select("_id", "_row", "_dups"), ["_id", "_row"], "left").join(wins, "_id", "left")
     schema = T.StructType([joined.schema["_rest"], T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())])
     bound_batches(spark)
 
@@ -243,7 +287,8 @@ def parse_documents(docs: DataFrame, keep_rest: bool, digest: bool) -> DataFrame
                 words = data.split()
                 gone = 0
                 if dups or late:
-                    mask = removal_mask(Parsed(words), packed_pairs(bytes.fromhex(dups or "")), packed_pairs(bytes.fromhex(late or "")))
+                    p = Parsed(words)
+                    mask = removal_mask(p, factors_of(p, dups), packed_pairs(bytes.fromhex(late or "")))
                     gone = int(mask.sum())
                 total = len(words)
                 if gone:
@@ -257,6 +302,8 @@ def parse_documents(docs: DataFrame, keep_rest: bool, digest: bool) -> DataFrame
                 words_n.append(total)
                 gone_n.append(gone)
             yield pa.RecordBatch.from_arrays([batch.column("_rest"), pa.array(words_n, pa.int64()), pa.array(gone_n, pa.int64()), pa.array(kept, pa.string())], names=schema.names)
+        HASHES.clear()
+        tidy()
 
     return joined.mapInArrow(run, schema)
 

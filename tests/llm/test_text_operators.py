@@ -162,6 +162,7 @@ def test_repeats_match_brute_force(spark, vocabulary):
             words += p[a : len(p) - rng.randint(0, 20)] + [word() for _ in range(rng.randint(0, 5))]
         rows.append((i * 2, (" " if i % 2 else "\n").join(words)))
     rows += [rows[3], (1, rows[8][1]), (None, rows[9][1]), (300, None), (301, ""), (302, "same " * 400), (303, "same " * 300), (304, " ".join(passages[0]) + "\xa0x")]
+    rows += [(305, rows[5][1] + " tail"), (305, "other start " + rows[6][1])]
     got = substring_dedup.dedup_query(docs(spark, rows).repartition(3)).collect()
     assert sorted(((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got), key=str) == brute_repeats(rows, 50)
     if vocabulary == 3:
@@ -170,6 +171,55 @@ def test_repeats_match_brute_force(spark, vocabulary):
         assert substring_dedup.dedup_query(docs(spark, [])).count() == 0
 
 
+def plain_factors(rows):
+    """The same parse without hashes of windows or blocks: anchors by a plain minimum, blocks by their words, runs one by one."""
+
+    def blocks(words):
+        keys = [int(k) for k in substring_dedup.Parsed([w.encode() for w in words]).span(0, np.arange(len(words) - 11), np.arange(12, len(words) + 1))]
+        keys = [((k ^ k >> 29) * int(substring_dedup.BASES[1])) % 2**64 >> 32 for k in keys]
+        place = [min(range(s, s + 39), key=lambda i: (keys[i], i)) for s in range(len(words) - 49)]
+        starts = [s for s in range(len(place)) if s == 0 or place[s] != place[s - 1]]
+        ends = [s - 1 + 50 for s in starts[1:]] + [len(words)]
+        return [(a, b, tuple(words[a:b]), place[a] - a) for a, b in zip(starts, ends)]
+
+    parsed = {d: blocks(t.split()) if len(t.split()) >= 50 else [] for d, t in rows}
+    index = {}
+    for d in sorted(parsed):
+        for a, _, words, anchor in parsed[d]:
+            index.setdefault((words, anchor), (d, a))
+    out = []
+    for d, found in parsed.items():
+        open_ = None
+        for a, b, words, anchor in found:
+            ref, at = index[words, anchor]
+            if ref >= d:
+                open_ = None
+            elif open_ and open_[3] == ref and at - open_[4] == a - open_[1]:
+                open_[2] = b - open_[1]
+            else:
+                open_ = [d, a, b - a, ref, at]
+                out.append(open_)
+    return sorted(map(tuple, out))
+
+
+def test_factors_equal_a_plain_parser(spark):
+    rng = random.Random(33)
+    word = lambda: f"w{rng.randint(0, 3000)}"
+    passages = [[word() for _ in range(rng.randint(60, 260))] for _ in range(5)]
+    rows = []
+    for i in range(40):
+        words = []
+        for _ in range(rng.randint(0, 4)):
+            p = rng.choice(passages)
+            words += [word() for _ in range(rng.randint(0, 60))] + p[rng.randint(0, 20) : len(p) - rng.randint(0, 20)]
+        rows.append((i * 3 + 1, " ".join(words)))
+    got = sorted(map(tuple, substring_dedup.factor_documents(docs(spark, rows).repartition(3)).collect()))
+    assert got == plain_factors(rows) and len(got) > 30
+    texts = {d: t.split() for d, t in rows}
+    for d, start, length, ref, at in got:
+        assert ref < d and length >= 50 and texts[d][start : start + length] == texts[ref][at : at + length]
+
+
 def test_fingerprints_and_edited_texts(spark):
     rng = random.Random(12)
     rows = [(i * 3, " ".join(f"word{rng.randint(0, 3000)}" for _ in range(rng.randint(150, 300)))) for i in range(80)]
