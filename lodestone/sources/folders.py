@@ -2,17 +2,12 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path below ``spark.checkpoint.dir``; where that is unset, below the warehouse or, on a local master, a temporary folder."""
-    base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        local = spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local"
-        base = tempfile.mkdtemp(prefix="scratch-") if local else os.path.join(spark.conf.get("spark.sql.warehouse.dir"), "_scratch")
+    """A fresh path below ``spark.checkpoint.dir``, or below the warehouse where that is unset: the driver and all executors share both."""
+    base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/_scratch"
     return f"{base}/{name}-{uuid.uuid4().hex}"
