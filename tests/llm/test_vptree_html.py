@@ -50,6 +50,28 @@ def test_production_factor_has_recall(spark):
     assert hits >= 0.9 * sum(map(len, want.values()))
 
 
+def test_wide_and_equidistant_vectors(spark):
+    rows = [(i, [1.0 if j == i else 0.0 for j in range(1500)]) for i in range(1500)]
+    got = found_of(vptree.nearest(frame(spark, rows), vptree.F.col("vec_id") % 500 == 0, factor=1.0))
+    assert set(got) == {0, 500, 1000}
+    for q, found in got.items():
+        assert [i for _, i, _ in found] == [i for i in range(12) if i != q][:10] and {round(d, 12) for *_, d in found} == {round(2**0.5, 12)}
+
+
+def test_the_tree_prunes_where_vectors_cluster():
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(40, 16)) * 4
+    vectors = centres[rng.integers(40, size=6000)] + rng.normal(size=(6000, 16)) * 0.2
+    tree = vptree.build(np.arange(6000), vectors, 11)
+    assert max(e - b for b, e, at in zip(tree.begin, tree.end, tree.left) if at < 0) <= vptree.LEAF
+    exact, who, entered = vptree.search(tree, vectors[:100], 11, 1.0)
+    assert entered.mean() < 0.3 * 6000
+    truth = np.sort(vptree.distances(vectors[:100], vectors), axis=1)[:, :11]
+    assert np.allclose(exact, truth, rtol=1e-12)
+    relaxed, _, fewer = vptree.search(tree, vectors[:100], 11, vptree.calibrated(tree, 11))
+    assert fewer.mean() <= entered.mean() and (relaxed <= truth[:, 10:] + 1e-9).mean() >= 0.9
+
+
 def test_few_rows(spark):
     assert found_of(vptree.nearest_query(frame(spark, []))) == {}
     assert found_of(vptree.nearest_query(frame(spark, [(0, [1.0, 2.0])]))) == {}
