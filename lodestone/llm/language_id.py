@@ -7,8 +7,14 @@ orders and the rejection levels need the rare ones. The model is broadcast whole
 of their 64-bit hashes (an odd multiplication, so no two collide).
 
 The prediction is the language of the lowest cross-entropy per character. A document is rejected when that
-cross-entropy lies beyond the language's own level plus a share of its distance to random letters, with room for
-the variance of short texts; the levels are measured on the training counts and on the model itself.
+cross-entropy lies too far from the language's own level towards that of random letters, with room for the variance of
+short texts. How far is too far is calibrated: a fifth of the training documents is kept out of a first fit, their
+cross-entropies under it give the share of the way that own texts go (its ``OWN`` quantile), and the limit lies half way
+between that share and random letters. The final models then learn from all training documents. The score is the
+posterior probability of the language among the learned ones, all equally likely before, as if the text had at most
+``EVIDENCE`` characters: cross-entropies of long texts are not independent evidence, and the score would always be 1.
+
+Letters beyond the basic plane take part as one of 2048 stand-ins each (their code point's remainder).
 
 Null text and text without a letter is ``und`` and rejected; a null doc_id counts as held out; a document without
 lang is not learned from; repeated rows and other columns do not matter; without training rows all is ``und``.
@@ -16,6 +22,7 @@ lang is not learned from; repeated rows and other columns do not matter; without
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
@@ -36,16 +43,28 @@ AT_ONCE = 1 << 20
 #: Probability of a letter that no training text has.
 UNSEEN = 1 / 4096
 MIX = np.uint64(0x9E3779B97F4A7C15)
-#: Rejection: share of the way from a language's own cross-entropy to that of random letters; standard errors.
-REJECT_AT, REJECT_SPREAD = 0.6, 4.0
+#: Rejection: the quantile of own texts that calibrates a limit, a limit without such texts (as a share of the way from a
+#: language's own cross-entropy to that of random letters), and the room for short texts in standard errors.
+OWN, REJECT_AT, REJECT_SPREAD = 0.999, 0.6, 4.0
+#: Characters that the score counts at most.
+EVIDENCE = 50
+BEYOND = re.compile("[\U00010000-\U0010ffff]")
+
+
+def stand_in(m: re.Match[str]) -> str:
+    """A letter beyond the basic plane as a surrogate, which no text holds alone; anything else as a blank."""
+    letter = m[0].lower()
+    return chr(0xD800 + ord(letter[0]) % 2048) if m[0].isalpha() else " "
 
 
 @lru_cache(maxsize=1)
 def letter_table() -> np.ndarray:
-    """Lower-case letter of each UTF-16 unit; 0 for what is no letter."""
+    """Lower-case letter of each UTF-16 unit, stand-ins included; 0 for what is no letter."""
     table = np.zeros(1 << 16, np.uint16)
     for u in range(1 << 16):
-        if not 0xD800 <= u < 0xE000 and chr(u).isalpha():
+        if 0xD800 <= u < 0xE000:
+            table[u] = u
+        elif chr(u).isalpha():
             low = chr(u).lower()
             table[u] = ord(low) if len(low) == 1 and ord(low) < 1 << 16 else u
     return table
@@ -54,6 +73,9 @@ def letter_table() -> np.ndarray:
 def four_grams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """Packed four-grams of all texts (each starts afresh) and the number of each text's."""
     parts = [b"\0\0" + (t or "").encode("utf-16-le", "surrogatepass") for t in texts]
+    for i, text in enumerate(texts):
+        if text and len(parts[i]) != 2 * len(text) + 2:
+            parts[i] = b"\0\0" + BEYOND.sub(stand_in, text).encode("utf-16-le", "surrogatepass")
     units = letter_table()[np.frombuffer(b"".join(parts), "<u2")]
     sizes = np.array([len(p) // 2 for p in parts], np.int64)
     starts = np.cumsum(sizes) - sizes
@@ -109,6 +131,7 @@ class KneserNey:
     mean: float = 0.0
     spread: float = 0.0
     alien: float = 0.0
+    reject_at: float = REJECT_AT
 
     @classmethod
     def fit(cls, keys: np.ndarray, counts: np.ndarray) -> KneserNey:
@@ -172,19 +195,16 @@ class LanguageModels:
                 bits = -np.log2(model.probability(distinct))
                 run = np.concatenate([[0.0], np.cumsum(bits[place])])
                 sums[:, j] = run[edges[1:]] - run[edges[:-1]]
-        for i, text in enumerate(texts):
+        for i in range(len(texts)):
             n = int(counts[i])
-            if not self.models or (n == 0 and not any(c.isalpha() for c in text or "")):
+            if not self.models or n == 0:
                 out.append((UNKNOWN, 0.0, None, True))
                 continue
-            if n == 0:  # letters beyond the basic plane only
-                out.append((self.languages[0], 0.0, None, True))
-                continue
             entropy = sums[i] / n
             best = int(np.argmin(np.round(entropy, 9)))
-            odds = np.exp2(np.clip((entropy[best] - entropy) * min(n, 50), -60, 0))
+            odds = np.exp2(np.clip((entropy[best] - entropy) * min(n, EVIDENCE), -60, 0))
             m = self.models[best]
-            limit = m.mean + max(REJECT_AT * (m.alien - m.mean), 0.5) + REJECT_SPREAD * m.spread / np.sqrt(n)
+            limit = m.mean + max(m.reject_at * (m.alien - m.mean), 0.5) + REJECT_SPREAD * m.spread / np.sqrt(n)
             out.append((self.languages[best], float(1 / odds.sum()), float(entropy[best]), bool(entropy[best] > limit)))
         return out
 
@@ -204,52 +224,92 @@ def held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(True))
 
 
+def kept_out() -> Column:
+    """The training rows that calibrate the rejection."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 1
+
+
 def four_gram_counts(training: DataFrame) -> DataFrame:
-    """(lang, gram long, n long) over all rows of ``training`` (lang, text)."""
+    """(lang, gram long, n long, kept_out long: of n) over all rows of ``training`` (lang, kept_out, text)."""
     bound_batches(training.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+        held: dict[tuple[str, bool], tuple[np.ndarray, np.ndarray]] = {}
 
         def rows() -> Iterator[pa.RecordBatch]:
-            for lang, (keys, n) in held.items():
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys), pa.string()), pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64))], names=["lang", "gram", "n"])
+            for (lang, out), (keys, n) in held.items():
+                counts = pa.array(n.astype(np.int64))
+                apart = counts if out else pa.array(np.zeros(len(n), np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys), pa.string()), pa.array(keys.view(np.int64)), counts, apart], names=["lang", "gram", "n", "kept_out"])
             held.clear()
 
         for batch in batches:
-            langs = np.array(batch.column("lang").to_pylist(), object)
+            kinds = list(zip(batch.column("lang").to_pylist(), batch.column("kept_out").to_pylist()))
             texts = batch.column("text").to_pylist()
-            for lang in sorted(set(langs)):
-                mine = [texts[i] for i in np.flatnonzero(langs == lang)]
+            for kind in sorted(set(kinds)):
+                mine = [t for t, k in zip(texts, kinds) if k == kind]
                 for part in slices(mine, AT_ONCE):
                     keys, n = counted(four_grams(mine[part])[0])
-                    if lang in held:
-                        keys, n = counted(np.concatenate([held[lang][0], keys]), np.concatenate([held[lang][1], n]))
-                    held[lang] = (keys, n)
+                    if kind in held:
+                        keys, n = counted(np.concatenate([held[kind][0], keys]), np.concatenate([held[kind][1], n]))
+                    held[kind] = (keys, n)
             if sum(len(k) for k, _ in held.values()) > FLUSH_AT:
                 yield from rows()
         yield from rows()
         tidy()
 
-    return training.mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counts = training.mapInArrow(run, "lang string, gram long, n long, kept_out long")
+    return counts.groupBy("lang", "gram").agg(F.sum("n").alias("n"), F.sum("kept_out").alias("kept_out"))
+
+
+def own_shares(docs: DataFrame, models: LanguageModels) -> dict[str, float]:
+    """Per language the share of the way to random letters that its own texts (lang, text) go, room for short ones aside."""
+    shared = docs.sparkSession.sparkContext.broadcast(models)
+
+    def one(batch: pa.RecordBatch) -> pa.RecordBatch:
+        langs, texts = batch.column("lang").to_pylist(), batch.column("text").to_pylist()
+        out = []
+        for part in slices(texts, AT_ONCE):
+            keys, counts = four_grams(texts[part])
+            edges = np.concatenate([[0], np.cumsum(counts)])
+            for lang in set(langs[part]) & set(shared.value.languages):
+                m = shared.value.models[shared.value.languages.index(lang)]
+                for i in (i for i, own in enumerate(langs[part]) if own == lang and counts[i]):
+                    bits = -np.log2(m.probability(keys[edges[i] : edges[i + 1]])).mean()
+                    out.append((lang, (bits - REJECT_SPREAD * m.spread / np.sqrt(counts[i]) - m.mean) / max(m.alien - m.mean, 1e-9)))
+        lang, share = zip(*out) if out else ([], [])
+        return pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(share, pa.float64())], names=["lang", "share"])
+
+    shares = map_batches(docs, one, "lang string, share double").groupBy("lang").agg(F.percentile_approx("share", OWN, 10_000).alias("share"))
+    return {r["lang"]: r["share"] for r in shares.collect()}
 
 
 def fit(docs: DataFrame) -> LanguageModels:
     """Models of all languages that the training fold names."""
-    training = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
+    named = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    training = named.select(F.col("lang").cast("string").alias("lang"), kept_out().alias("kept_out"), F.col("text").cast("string").alias("text"))
     table = four_gram_counts(training).toArrow()
     codes = table.column("lang").dictionary_encode().combine_chunks()
     names, lang = codes.dictionary.to_pylist(), codes.indices.to_numpy()
     gram = table.column("gram").to_numpy().view(np.uint64)
-    n = table.column("n").to_numpy()
-    languages = sorted(names)
-    models = []
-    for one in languages:
-        mine = np.flatnonzero(lang == names.index(one))
-        order = mine[np.argsort(gram[mine])]
-        if len(order):
-            models.append(KneserNey.fit(gram[order], n[order]))
-    return LanguageModels(languages, models)
+    n, apart = table.column("n").to_numpy(), table.column("kept_out").to_numpy()
+
+    def models_of(counts: np.ndarray) -> LanguageModels:
+        found = LanguageModels([], [])
+        for one in sorted(names):
+            mine = np.flatnonzero((lang == names.index(one)) & (counts > 0))
+            order = mine[np.argsort(gram[mine])]
+            if len(order):
+                found.languages.append(one)
+                found.models.append(KneserNey.fit(gram[order], counts[order]))
+        return found
+
+    final = models_of(n)
+    shares = own_shares(training.where("kept_out").select("lang", "text"), models_of(n - apart))
+    for one, model in zip(final.languages, final.models):
+        if one in shares:
+            model.reject_at = (min(max(shares[one], 0.0), 1.0) + 1) / 2
+    return final
 
 
 def identify(docs: DataFrame, models: LanguageModels) -> DataFrame:

@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -271,7 +272,7 @@ def test_language_models_on_held_out_rows(spark):
     for d, _, lang in rows:
         assert got[d].held_out == (zlib.crc32(str(d).encode()) % 5 == 0)
         assert got[d].lang_pred == lang and 0.5 < got[d].score <= 1 and not got[d].rejected
-    assert [got[d].lang_pred for d in (1000, 1001, 1002)] == ["und"] * 3 and got[1003].lang_pred in syllables
+    assert [got[d].lang_pred for d in (1000, 1001, 1002)] == ["und"] * 3 and got[1003].lang_pred in syllables and got[1003].rejected
     assert got[1004].rejected and got[None].held_out
     kept = language_id.keep_known_language(docs(spark, rows + extra))
     assert {r.doc_id for r in kept.select("doc_id").collect()} == {d for d, _, _ in rows} | {None}
@@ -279,6 +280,63 @@ def test_language_models_on_held_out_rows(spark):
     assert language_id.predict_languages(docs(spark, [])).count() == 0
 
 
+def test_letters_beyond_the_basic_plane_take_part(spark):
+    rng = random.Random(17)
+    deseret = [chr(0x10400 + i) for i in range(40)]
+    rows = [(i, " ".join("".join(rng.choice(deseret) for _ in range(5)) for _ in range(30)), "ds") for i in range(100)]
+    rows += [(100 + i, " ".join("".join(rng.choice("kamori") for _ in range(5)) for _ in range(30)), "xx") for i in range(100)]
+    odd = [(900, "\U0001f600\U0001f601", None), (901, "ka\U0001f600mo", None), (902, "".join(deseret[:30]), None)]
+    got = {r.doc_id: r for r in language_id.predict_languages(docs(spark, rows + odd)).collect()}
+    assert all(got[d].lang_pred == lang and not got[d].rejected for d, _, lang in rows)
+    assert [got[d].lang_pred for d in (900, 901, 902)] == ["und", "xx", "ds"]
+
+
+def slow_kneser_ney(trained):
+    """Cross-entropy per character by dictionaries and Kneser-Ney's formula, one n-gram at a time."""
+    letters = lambda t: [c for w in re.split(r"[\W\d_]+", t.lower()) if w for c in (*w, "")][:-1]
+    level = {n: {} for n in range(1, 5)}
+
+    def grams(text):
+        seq = ["", "", "", *letters(text)]
+        return [tuple(seq[i - 3 : i + 1]) for i in range(3, len(seq))]
+
+    for text in trained:
+        for g in grams(text):
+            level[4][g] = level[4].get(g, 0) + 1
+    for n in (3, 2, 1):
+        for g in level[n + 1]:
+            level[n][g[1:]] = level[n].get(g[1:], 0) + 1
+    discount = {}
+    for n in level:
+        once, twice = (sum(c == k for c in level[n].values()) for k in (1, 2))
+        discount[n] = once / (once + 2 * twice) if once and twice else 0.5
+
+    def p(g):
+        if not g:
+            return language_id.UNSEEN
+        n, total, kinds = len(g), 0, 0
+        for h, c in level[n].items():
+            if h[:-1] == g[:-1]:
+                total, kinds = total + c, kinds + 1
+        if not total:
+            return p(g[1:])
+        return max(level[n].get(g, 0) - discount[n], 0) / total + discount[n] * kinds / total * p(g[1:])
+
+    return lambda text: sum(-math.log2(p(g)) for g in grams(text)) / len(grams(text))
+
+
+def test_cross_entropies_match_brute_force(spark):
+    rng = random.Random(19)
+    syllables = {"aa": ["ka", "mo", "ri"], "bb": ["sch", "ung", "ka"]}
+    rows = [(i, " ".join("".join(rng.choice(syllables[lang]) for _ in range(rng.randint(1, 3))) for _ in range(6)), lang) for i, lang in enumerate(["aa", "bb"] * 15)]
+    got = {r.doc_id: r for r in language_id.predict_languages(docs(spark, rows)).collect()}
+    slow = {lang: slow_kneser_ney([t for d, t, own in rows if own == lang and zlib.crc32(str(d).encode()) % 5]) for lang in syllables}
+    for d, text, _ in rows:
+        entropy = {lang: f(text) for lang, f in slow.items()}
+        best = min(sorted(entropy), key=lambda lang: round(entropy[lang], 9))
+        assert got[d].lang_pred == best and got[d].cross_entropy == pytest.approx(entropy[best], rel=1e-9)
+
+
 def test_kneser_ney_sums_to_one():
     keys, _ = language_id.four_grams(["the cat sat on the mat and the dog ran to the cat"] * 2)
     model = language_id.KneserNey.fit(*language_id.counted(keys))
