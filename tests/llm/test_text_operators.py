@@ -1,3 +1,4 @@
+import functools
 import hashlib
 import math
 import random
@@ -9,6 +10,7 @@ import pyarrow as pa
 import public_tokenizers
 import pytest
 import tiktoken
+import xxhash
 from tokenizers import Tokenizer
 
 from lodestone.llm import byte_bpe, fingerprints, language_id, packing, substring_dedup
@@ -247,6 +249,55 @@ def test_fingerprints_and_edited_texts(spark):
     assert fingerprints.fingerprint_query(docs(spark, [(7, "tie a"), (7, "tie b"), (None, "first")])).count() == 3
 
 
+def slow_simhash(text):
+    words = [w for w in re.split(r"[\x20\x09-\x0D]+", text.lower()) if w]
+    terms = list(zip(words, words[1:])) if len(words) > 1 else [(w, "") for w in words]
+    chain = lambda *parts: functools.reduce(lambda seed, p: xxhash.xxh64_intdigest(p.encode(), seed), parts, 42)
+    votes, total = [0] * 128, 0
+    for a, b in terms:
+        weight = min(len(a.encode()) + len(b.encode()), 16)
+        total += weight
+        h = chain(a, b) << 64 | chain(b, "second", a)
+        for i in range(128):
+            votes[i] += weight * (h >> i & 1)
+    return sum(1 << i for i in range(128) if 2 * votes[i] > total)
+
+
+def test_fingerprints_equal_brute_force_in_any_bucketing(spark, monkeypatch):
+    rng = random.Random(15)
+    text = lambda: " ".join(rng.choice(["Alpha", "beta", "γάμμα", "d", "\t", "epsilon-zeta-eta-theta"]) for _ in range(rng.randint(0, 40)))
+    rows = [(rng.choice([None, i // 2, 7]), text()) for i in range(150)]  # a third without an id, a third with one id
+    results = []
+    for size in (1 << 30, 200):
+        monkeypatch.setattr(fingerprints, "BUCKET_BYTES", size)
+        results.append(sorted(map(tuple, fingerprints.fingerprint_query(docs(spark, rows).repartition(3)).collect()), key=str))
+    assert len(results[0]) == len(results[1]) == 150
+    prints = sorted(r[3] for r in results[0])
+    assert prints == sorted(r[3] for r in results[1]) == sorted(f"{slow_simhash(t):032x}" for _, t in rows)
+    unique = sorted({d: t for d, t in rows if d not in (None, 7)}.items())
+    for size in (1 << 30, 200):  # with distinct ids the whole result is the same
+        monkeypatch.setattr(fingerprints, "BUCKET_BYTES", size)
+        got = [tuple(r) for r in fingerprints.fingerprint_query(docs(spark, unique).repartition(3)).orderBy("doc_id").collect()]
+        for (d, t), (_, u), r in zip(unique, unique[1:] + unique[:1], got):
+            half = len(t) // 2
+            edited = t[: len(t) - half] + u[:half]
+            own, other, after = slow_simhash(t), slow_simhash(edited), slow_simhash(u)
+            assert r == (d, len(t), hashlib.sha256(edited.encode()).hexdigest(), f"{own:032x}", f"{other:032x}", 1 - (own ^ other).bit_count() / 128, 1 - (own ^ after).bit_count() / 128)
+
+
+def test_near_pairs_over_a_whole_table(spark):
+    texts = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").selectExpr("doc_id", "coalesce(text, '') AS text")
+    prints = fingerprints.fingerprint_texts(texts.repartition("doc_id"), ["doc_id"], "text").withColumnRenamed("doc_id", "node")
+    values = {}
+    for r in prints.orderBy("node").collect():
+        values.setdefault((r.fp_hi % 2**64) << 64 | r.fp_lo % 2**64, r.node)
+    nodes = list(values.items())
+    want = sorted((a, b, d) for i, (u, a) in enumerate(nodes) for v, b in nodes[i + 1 :] if (d := (u ^ v).bit_count()) <= 12)
+    assert want
+    for count in (2, 10**9):  # one block to a key, and several
+        assert sorted(map(tuple, fingerprints.near_pairs(prints, 12, count).collect())) == want
+
+
 def test_near_pairs_match_brute_force(spark):
     rng = random.Random(1)
     values = []
