@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import map_batches
+from lodestone.llm.common import map_batches, spread
 from lodestone.llm.merging import PairTable, merge_words
 
 #: Distinct words a worker remembers before it starts anew.
@@ -126,4 +126,4 @@ def encode_documents(docs: DataFrame, vocabulary: str | None = None, pattern: st
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(bytes_sha, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return map_batches(source, one, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return map_batches(spread(source), one, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -36,6 +36,13 @@ def bound_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The rows over all cores where a plain scan has fewer partitions than there are cores (a table of few row groups)."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    scan = "AdaptiveSparkPlan" not in df._jdf.queryExecution().executedPlan().toString()
+    return df.repartition(cores) if scan and df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+
+
 LIBC = ctypes.CDLL(None)
 
 

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import map_batches
+from lodestone.llm.common import map_batches, spread
 
 #: A start or end tag with HTML's rules for quotes; no part is ever read twice.
 TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[^=>]++|=\s*+(?:"[^"]*+"|'[^']*+'|(?!["'])[^\s>]*+))*+)>""")
@@ -320,4 +320,4 @@ def extract_pages(pages: DataFrame) -> DataFrame:
         )
 
     source = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    return map_batches(source, one, "page_id long, url string, text string, n_chars long")
+    return map_batches(spread(source), one, "page_id long, url string, text string, n_chars long")

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import bound_batches, map_batches, slices, tidy
+from lodestone.llm.common import bound_batches, map_batches, slices, spread, tidy
 
 ORDER = 4
 UNKNOWN = "und"
@@ -258,7 +258,7 @@ def four_gram_counts(training: DataFrame) -> DataFrame:
         yield from rows()
         tidy()
 
-    counts = training.mapInArrow(run, "lang string, gram long, n long, kept_out long")
+    counts = spread(training).mapInArrow(run, "lang string, gram long, n long, kept_out long")
     return counts.groupBy("lang", "gram").agg(F.sum("n").alias("n"), F.sum("kept_out").alias("kept_out"))
 
 
@@ -326,7 +326,7 @@ def identify(docs: DataFrame, models: LanguageModels) -> DataFrame:
         )
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), F.col("text").cast("string").alias("text"))
-    return map_batches(source, one, "doc_id long, held_out boolean, lang_pred string, score double, cross_entropy double, rejected boolean")
+    return map_batches(spread(source), one, "doc_id long, held_out boolean, lang_pred string, score double, cross_entropy double, rejected boolean")
 
 
 def predict_languages(docs: DataFrame) -> DataFrame:

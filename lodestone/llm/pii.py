@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import map_batches
+from lodestone.llm.common import map_batches, spread
 
 KINDS = ("email", "ip", "card", "phone", "contact", "account", "address")
 DIGITS = frozenset("0123456789")
@@ -318,7 +318,7 @@ def find_pii(docs: DataFrame) -> DataFrame:
         )
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return map_batches(source, one, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    return map_batches(spread(source), one, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
 
 
 def redact_documents(docs: DataFrame) -> DataFrame:

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import bound_batches, cut, map_batches, shuffle_width, tidy
+from lodestone.llm.common import bound_batches, cut, map_batches, shuffle_width, spread, tidy
 from lodestone.llm.components import components
 from lodestone.llm.similar_sets import similar_sets
 
@@ -68,7 +68,7 @@ def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps)], names=["doc_id", "fp"])
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return map_batches(source, one, "doc_id long, fp long")
+    return map_batches(spread(source), one, "doc_id long, fp long")
 
 
 class BKTree:

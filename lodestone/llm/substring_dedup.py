@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.llm.common import bound_batches, cut, map_batches, tidy
+from lodestone.llm.common import bound_batches, cut, map_batches, spread, tidy
 
 WINDOW, GRAM = 50, 12
 REMEMBERED = 200_000
@@ -157,7 +157,7 @@ def parse_blocks(docs: DataFrame) -> DataFrame:
         lists = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([getattr(p, k) for p in found] or [np.zeros(0, t)]).astype(t))) for k, t in kinds]
         return pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("_row"), *lists], names=names)
 
-    return map_batches(source, one, "_id long, _row long, _gram array<long>, _block array<long>, _at array<int>")
+    return map_batches(spread(source), one, "_id long, _row long, _gram array<long>, _block array<long>, _at array<int>")
 
 
 def compressed(docs: DataFrame) -> DataFrame:
