@@ -302,7 +302,7 @@ class Collection:
         return WriteResult(inserted_count=len(ids) or staged.count(), inserted_ids=ids)
 
     def _check_new(self, new: DataFrame, old: DataFrame, ids: list[str]) -> None:
-        if "_id" in old.columns:
+        if "_id" in old.columns and (self.store is None or self._version):
             same = old.where(F.col("_id").isin(ids)) if 0 < len(ids) <= 1000 else new.select("_id").join(old.select("_id"), "_id", "left_semi")
             if not same.isEmpty():
                 raise ValueError("duplicate _id")
