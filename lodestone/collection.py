@@ -25,7 +25,7 @@ from lodestone.operators.ordering import SortSpec, sort_columns
 from lodestone.operators.pipeline import aggregate
 from lodestone.operators.projection import project
 from lodestone.operators.updates import apply_update, check, update_frame
-from lodestone.sources.documents import DOC, VALID, documents_of, invalid_rows, new_id, object_id, raw_documents, read_text, to_text, validate
+from lodestone.sources.documents import DOC, PARSED, VALID, documents_of, invalid_rows, new_id, object_id, raw_documents, read_text, to_text, validate, with_parsed
 from lodestone.sources.store import BEFORE, COMMITS, SnapshotStore
 from lodestone.streaming.events import change_events
 
@@ -181,6 +181,9 @@ class Collection:
 
     def frame(self) -> DataFrame:
         """All rows of the newest version."""
+        return self._stored().drop(PARSED)
+
+    def _stored(self) -> DataFrame:
         if self.store is not None:
             self._version = self.store.version(self.name)
             if self._version:
@@ -195,7 +198,7 @@ class Collection:
         return Root.of(df, DOC if self.documents else None)
 
     def rows(self) -> DataFrame:
-        return documents_of(self.frame()) if self.documents else self.frame()
+        return documents_of(self._stored()) if self.documents else self.frame()
 
     def condition(self, df: DataFrame, query: Filter | None, eq_mode: str = "exact") -> Column:
         query = query or {}
@@ -291,7 +294,7 @@ class Collection:
             self._frame = old.unionByName(new, allowMissingColumns=True)
             self.memory_log.append(self._inserted(new))
             return WriteResult(inserted_count=len(ids) or new.count(), inserted_ids=ids)
-        path = self.store.stage(self.name, new)
+        path = self._stage(new)
         staged = self.store.staged(path)
         try:
             self._check_new(staged, old, list(ids.values()))
@@ -301,6 +304,9 @@ class Collection:
         self._version = self.store.commit_staged(self.name, path, self._inserted(staged), self._version)
         return WriteResult(inserted_count=len(ids) or staged.count(), inserted_ids=ids)
 
+    def _stage(self, rows: DataFrame) -> str:
+        return self.store.stage(self.name, with_parsed(rows) if self.documents and "data" in rows.columns else rows)
+
     def _check_new(self, new: DataFrame, old: DataFrame, ids: list[str]) -> None:
         if "_id" in old.columns and (self.store is None or self._version):
             same = old.where(F.col("_id").isin(ids)) if 0 < len(ids) <= 1000 else new.select("_id").join(old.select("_id"), "_id", "left_semi")
@@ -336,7 +342,7 @@ class Collection:
             self._frame = out
             self.memory_log.append(logged(after.where("__hit")))
             return
-        path = self.store.stage(self.name, after.select(*(f"`{c}`" for c in kept), BEFORE))
+        path = self._stage(after.select(*(f"`{c}`" for c in kept), BEFORE))
         staged = self.store.staged(path)
         try:
             if self.unique:

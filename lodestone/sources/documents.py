@@ -18,13 +18,20 @@ from pyspark.sql import functions as F
 from lodestone.functions.values import iso, parse_iso
 
 DOC, VALID = "doc", "data_valid"
+#: The column of stored rows that holds the parsed text.
+PARSED = "__parsed"
 ISO_MILLIS = re.compile(r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d{3})?Z$")
 
 
 def documents_of(raw: DataFrame) -> DataFrame:
-    """Adds ``doc`` (VARIANT, null where the text is broken) and ``data_valid``."""
-    doc = F.try_parse_json("data")
-    return raw.withColumns({DOC: doc, VALID: doc.isNotNull()})
+    """Adds ``doc`` (VARIANT, null where the text is broken) and ``data_valid``; stored documents have been parsed already."""
+    doc = F.col(PARSED) if PARSED in raw.columns else F.try_parse_json("data")
+    return raw.withColumns({DOC: doc, VALID: doc.isNotNull()}).drop(PARSED)
+
+
+def with_parsed(raw: DataFrame) -> DataFrame:
+    """Rows as they are stored: the text and beside it what it parses to."""
+    return raw.withColumn(PARSED, F.try_parse_json("data"))
 
 
 def invalid_rows(raw: DataFrame) -> DataFrame:
