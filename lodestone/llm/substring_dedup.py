@@ -34,6 +34,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from lodestone.llm.common import bound_batches, cut, map_batches, spread, tidy
 
@@ -144,10 +145,16 @@ def gather(condition: Column, *values: Column) -> Column:
 FACTOR = np.dtype([("block", ">i4"), ("at", ">i4"), ("doc", ">i8")])
 
 
-def parse_blocks(docs: DataFrame) -> DataFrame:
-    """(_id, _row, _gram, _block, _at: arrays) of the documents that take part; ``_row`` tells texts of one id apart."""
+def row_key(docs: DataFrame) -> Column:
+    """Tells texts of one doc_id apart where doc_ids repeat; else it is 0, which takes no room in a shuffle."""
+    repeated = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
+    return F.lit(0).cast("long") if repeated.isEmpty() else F.xxhash64("text")
+
+
+def parse_blocks(docs: DataFrame, row: Column) -> DataFrame:
+    """(_id, _row, _gram, _block, _at: arrays) of the documents that take part."""
     bound_batches(docs.sparkSession)
-    source = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("_id"), F.xxhash64("text").alias("_row"), F.col("text").cast("string").alias("_text"))
+    source = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("_id"), row.alias("_row"), F.col("text").cast("string").alias("_text"))
     names = ["_id", "_row", "_gram", "_block", "_at"]
 
     def one(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -160,10 +167,10 @@ def parse_blocks(docs: DataFrame) -> DataFrame:
     return map_batches(spread(source), one, "_id long, _row long, _gram array<long>, _block array<long>, _at array<int>")
 
 
-def compressed(docs: DataFrame) -> DataFrame:
+def compressed(docs: DataFrame, row: Column) -> DataFrame:
     """(_id, _row, _rest, _z): the texts as they are shuffled."""
     rest = [c for c in docs.columns if c != "text"]
-    source = docs.select(F.col("doc_id").cast("long").alias("_id"), F.xxhash64("text").alias("_row"), F.struct(*rest).alias("_rest"), F.col("text").cast("string").alias("_text"))
+    source = docs.select(F.col("doc_id").cast("long").alias("_id"), row.alias("_row"), F.struct(*rest).alias("_rest"), F.col("text").cast("string").alias("_text"))
     schema = T.StructType([source.schema["_id"], source.schema["_row"], source.schema["_rest"], T.StructField("_z", T.BinaryType())])
 
     def one(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -177,16 +184,19 @@ def compressed(docs: DataFrame) -> DataFrame:
 def duplicate_index(parsed: DataFrame) -> DataFrame:
     """Per document: ``_dups`` the blocks known from smaller documents with their first place, ``_open`` the anchors at factor boundaries."""
     zipped = F.posexplode(F.arrays_zip("_gram", "_block", "_at")).alias("no", "b")
-    blocks = parsed.select("_id", "_row", zipped).select("_id", "_row", "no", F.col("b._gram").alias("gram"), F.col("b._block").alias("block"), F.col("b._at").alias("at"))
-    grams = blocks.groupBy("gram").agg(F.min("_id").alias("low"), F.max("_id").alias("high"), (F.min("block") != F.max("block")).alias("mixed"))
-    shared = cut(grams.where("low < high").select("gram", "mixed"))
-    mine = cut(blocks.join(shared, "gram").select("_id", "_row", "no", "gram", "block", "at", "mixed"))
-    first = cut(mine.groupBy("gram", "block").agg(F.min(F.struct("_id", "at")).alias("first")))
+    place = F.shiftleft(F.col("no").cast("long"), 32).bitwiseOR(F.col("b._at").cast("long"))  # the block's number and its first word
+    blocks = parsed.select("_id", "_row", zipped).select("_id", "_row", place.alias("place"), F.col("b._gram").alias("gram"), F.col("b._block").alias("block"))
+    grams = blocks.groupBy("gram").agg(F.min("_id").alias("low"), F.max("_id").alias("high"))
+    shared = cut(grams.where("low < high").select("gram"))
+    mine = cut(blocks.join(shared, "gram").select("_id", "_row", "place", "gram", "block"))
+    at = F.col("place").bitwiseAND(F.lit(0xFFFFFFFF))
+    first = mine.groupBy("gram", "block").agg(F.min(F.struct("_id", at.alias("at"))).alias("first"))
+    first = cut(first.withColumn("mixed", F.count("*").over(Window.partitionBy("gram")) > 1))
     placed = mine.join(first, ["gram", "block"]).withColumn("dup", F.col("_id") > F.col("first._id")).where("dup or mixed")
-    place = F.shiftleft(F.col("no").cast("long"), 32).bitwiseOR(F.col("first.at").cast("long"))
+    source = F.col("place").bitwiseAND(F.lit(-1 << 32)).bitwiseOR(F.col("first.at"))
     return cut(
         placed.groupBy("_id", "_row").agg(
-            gather(F.col("dup"), place, F.col("first._id")).alias("_dups"),
+            gather(F.col("dup"), source, F.col("first._id")).alias("_dups"),
             gather(~F.col("dup"), F.col("gram")).alias("_open"),
         )
     )
@@ -253,8 +263,9 @@ def removal_mask(p: Parsed, factors: np.ndarray, wins: np.ndarray) -> np.ndarray
 
 def factor_documents(docs: DataFrame) -> DataFrame:
     """(doc_id, start, length, ref_doc, ref_start): the factors of every row with a doc_id, counted in words."""
-    texts = compressed(docs.select("doc_id", "text"))
-    joined = texts.join(duplicate_index(cut(parse_blocks(docs))).where("_dups <> ''").select("_id", "_row", "_dups"), ["_id", "_row"])
+    row = row_key(docs)
+    texts = compressed(docs.select("doc_id", "text"), row)
+    joined = texts.join(duplicate_index(cut(parse_blocks(docs, row))).where("_dups <> ''").select("_id", "_row", "_dups"), ["_id", "_row"])
 
     def one(batch: pa.RecordBatch) -> pa.RecordBatch:
         unpress = zstandard.ZstdDecompressor()
@@ -271,8 +282,9 @@ def factor_documents(docs: DataFrame) -> DataFrame:
 def parse_documents(docs: DataFrame, keep_rest: bool, digest: bool) -> DataFrame:
     """Every row with its word counts and the text without duplicate spans (or that text's SHA-256)."""
     spark = docs.sparkSession
-    texts = compressed(docs if keep_rest else docs.select("doc_id", "text"))
-    index = duplicate_index(cut(parse_blocks(docs)))
+    row = row_key(docs)
+    texts = compressed(docs if keep_rest else docs.select("doc_id", "text"), row)
+    index = duplicate_index(cut(parse_blocks(docs, row)))
     wins = boundary_windows(texts, index)
     joined = texts.join(index.select("_id", "_row", "_dups"), ["_id", "_row"], "left").join(wins, "_id", "left")
     schema = T.StructType([joined.schema["_rest"], T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())])
