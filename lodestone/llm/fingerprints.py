@@ -30,7 +30,7 @@ from lodestone.llm.common import cut, shuffle_width
 WEIGHT_CAP = 16
 BITS = 128
 #: Bytes of text that a bucket is to hold about, and the share of a bucket that makes a doc_id a frequent one.
-BUCKET_BYTES = 8 << 20
+BUCKET_BYTES = 4 << 20
 LANES = (1 << 32) + 1
 #: Stands for a missing doc_id in the order of documents.
 FIRST = -(1 << 63)
@@ -107,7 +107,7 @@ def bounds_of(keys: DataFrame, width: int) -> tuple[list[tuple[int, int]], bool]
     total = keys.agg(F.sum("size").alias("bytes"), F.min("key").alias("low")).first()
     if total["low"] is None:
         return [], False
-    n = max(2 * width, total["bytes"] // BUCKET_BYTES)
+    n = max(width, total["bytes"] // BUCKET_BYTES)
     cuts = keys.agg(F.percentile_approx("key", [i / n for i in range(1, n)], 20 * n).alias("q")).first()["q"]
     bounds = [(FIRST, FIRST)]
     for key in sorted({total["low"], *cuts}):
@@ -138,6 +138,8 @@ def with_next_text(docs: DataFrame) -> DataFrame:
         ghost = F.array(F.struct(F.get(before, own).cast("int").alias("bucket"), F.lit(1).alias("ghost")))
         copies = F.when((F.get(low, own) == F.col("key")) & (F.get(low_tie, own) == F.col("tie")), F.concat(copies, ghost)).otherwise(copies)
     rows = source.withColumn("to", F.explode(copies)).select("to.bucket", "to.ghost", "key", "tie", "doc_id", "text")
+    # as many partitions as buckets, so that a task's share does not grow with the table
+    rows = rows.repartition(max(shuffle_width(spark), len(bounds)), "bucket")
     line = Window.partitionBy("bucket").orderBy("ghost", "key", "tie", "text")
     return rows.withColumn("row", F.row_number().over(line)).withColumn("next_text", F.lead("text").over(line))
 
