@@ -5,7 +5,8 @@ met keep their ids in a bounded table, so the merges run once per distinct word
 characters are cut at blanks first (a blank starts a match and never ends one unless white space follows), which
 gives the same matches; all others go through the full Unicode pattern.
 
-Null text encodes like the empty text (no ids); rows are independent; an empty table gives no rows.
+Null text encodes like the empty text (no ids); a null doc_id is returned as it is; rows are independent, so repeated
+rows, ties and other columns do not matter; an empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -31,7 +31,11 @@ def slices(texts: list[str | None], characters: int = 4 << 20) -> Iterator[slice
 
 
 def bound_batches(spark: SparkSession) -> None:
-    """Limit Arrow batches so that very long texts do not pile up in a Python worker."""
+    """Limit Arrow batches so that very long texts do not pile up in a Python worker.
+
+    Spark reads these two settings when a query is planned, which is after the operator has returned its frame, so they
+    stay set for the session.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 

@@ -23,8 +23,8 @@ def components(links: DataFrame) -> DataFrame:
     In every round each node hooks to its smallest neighbour (a partial aggregate, so a hub costs no more than its
     share of links) and follows hooks to their end, doubling its reach with every join. Links are then drawn between hooks; those within one
     hook and repeated ones go, so later rounds work on what is still open only. The smallest node of a component
-    never hooks elsewhere, so it is the one that is left. Both inputs of every join are stored tables, which
-    lets adaptive execution split a hub's partition. Only whether links are left reaches the driver.
+    never hooks elsewhere, so it is the one that is left. Joins start from stored tables (the second join of open links takes the
+    first one's result), which lets adaptive execution split a hub's partition. Only whether links are left reaches the driver.
     """
     edges = cut(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     labels = None
