@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import importlib
 import urllib.error
 import urllib.request
 from collections.abc import Callable
@@ -9,7 +10,7 @@ from http.cookies import SimpleCookie
 from typing import Any, Protocol
 
 from lodestone.sync import protocol
-from lodestone.sync.commands import ApplyResult, Conflict, DocumentServer, Failure, Operation, TransientError, build_command, execute, upstream_id
+from lodestone.sync.commands import ApplyResult, Conflict, DocumentServer, Failure, Operation, TransientError, WriteError, build_command, execute, upstream_id
 
 
 class Sink(Protocol):
@@ -38,6 +39,54 @@ class ServerSink:
         pass
 
 
+def driver_of(name: str = "pymongo") -> Any:
+    """The client library of a document server, which is not a requirement of this package."""
+    try:
+        return importlib.import_module(name)
+    except ImportError as error:
+        raise RuntimeError(f"{name} is not installed; pass a client and its library, or another DocumentServer") from error
+
+
+class DriverServer:
+    """A document server behind a client of the pymongo interface; ids written as ``{"$oid": ..}`` are its object ids."""
+
+    def __init__(self, database: str, uri: str | None = None, client: Any = None, library: Any = None, object_id: Callable[[str], Any] | None = None):
+        self.library = library or driver_of()
+        self.client = client if client is not None else self.library.MongoClient(uri)
+        self.object_id = object_id or importlib.import_module("bson").ObjectId
+        self.database = self.client[database]
+
+    def _key(self, value: Any) -> Any:
+        return self.object_id(value["$oid"]) if isinstance(value, dict) and "$oid" in value else value
+
+    def _operation(self, command: dict[str, Any]) -> Any:
+        (kind, body), *_ = command.items()
+        condition = {**body["filter"], "_id": self._key(body["filter"]["_id"])}
+        if kind == "deleteOne":
+            return self.library.DeleteOne(condition)
+        if kind == "replaceOne":
+            return self.library.ReplaceOne(condition, {**body["replacement"], "_id": condition["_id"]}, upsert=bool(body.get("upsert")))
+        return self.library.UpdateOne(condition, body["update"], upsert=bool(body.get("upsert")))
+
+    def bulk_write(self, collection: str, commands: list[dict[str, Any]]) -> tuple[int, list[WriteError]]:
+        errors = self.library.errors
+        try:
+            found = self.database[collection].bulk_write([self._operation(c) for c in commands], ordered=False).bulk_api_result
+        except errors.BulkWriteError as error:
+            found = error.details
+        except errors.PyMongoError as error:
+            raise TransientError(str(error)) from error
+        landed = sum(found.get(k, 0) for k in ("nMatched", "nUpserted", "nRemoved"))
+        return landed, [WriteError(e["index"], e["code"], e.get("errmsg", "")) for e in found.get("writeErrors", ())]
+
+    def fetch(self, collection: str, ids: list[Any]) -> list[dict[str, Any]]:
+        try:
+            found = list(self.database[collection].find({"_id": {"$in": [self._key(i) for i in ids]}}))
+        except self.library.errors.PyMongoError as error:
+            raise TransientError(str(error)) from error
+        return [{**d, "_id": d["_id"] if isinstance(d["_id"], str) else {"$oid": str(d["_id"])}} for d in found]
+
+
 Transport = Callable[[str, str, dict[str, str]], tuple[int, str, dict[str, str]]]
 
 
