@@ -209,23 +209,24 @@ def boundary_windows(texts: DataFrame, index: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpress = zstandard.ZstdDecompressor()
         for batch in batches:
-            ids, w1, w2 = [], [], []
-            for doc, z, dups, grams in zip(*(batch.column(c).to_pylist() for c in ("_id", "_z", "_dups", "_open"))):
+            ids, keys, w1, w2 = [], [], [], []
+            for doc, key, z, dups, grams in zip(*(batch.column(c).to_pylist() for c in ("_id", "_row", "_z", "_dups", "_open"))):
                 p = Parsed(unpress.decompress(z).split())
                 opened = np.isin(p.gram, np.frombuffer(bytes.fromhex(grams), ">i8").astype(np.int64))
                 opened[known_blocks(dups)["block"]] = False
                 a, b = p.windows(p.starts_of(np.flatnonzero(opened)))
                 ids.append(np.full(len(a), doc, np.int64))
+                keys.append(np.full(len(a), key, np.int64))
                 w1.append(a)
                 w2.append(b)
             if ids:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (ids, w1, w2)], names=["_id", "w1", "w2"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (ids, keys, w1, w2)], names=["_id", "_row", "w1", "w2"])
 
-    windows = cut(todo.mapInArrow(run, "_id long, w1 long, w2 long"))
+    windows = cut(todo.mapInArrow(run, "_id long, _row long, w1 long, w2 long"))
     first = windows.groupBy("w1", "w2").agg(F.min("_id").alias("first"), F.max("_id").alias("last"))
     first = cut(first.where("first < last").select("w1", "w2", "first"))
     late = windows.join(first, ["w1", "w2"]).where("_id > first")
-    return cut(late.groupBy("_id").agg(gather(F.lit(True), F.col("w1"), F.col("w2")).alias("_wins")))
+    return cut(late.groupBy("_id", "_row").agg(gather(F.lit(True), F.col("w1"), F.col("w2")).alias("_wins")))
 
 
 def known_blocks(dups: str | None) -> np.ndarray:
@@ -286,7 +287,8 @@ def parse_documents(docs: DataFrame, keep_rest: bool, digest: bool) -> DataFrame
     texts = compressed(docs if keep_rest else docs.select("doc_id", "text"), row)
     index = duplicate_index(cut(parse_blocks(docs, row)))
     wins = boundary_windows(texts, index)
-    joined = texts.join(index.select("_id", "_row", "_dups"), ["_id", "_row"], "left").join(wins, "_id", "left")
+    # one partitioning for both joins: the texts are shuffled once
+    joined = texts.join(index.select("_id", "_row", "_dups"), ["_id", "_row"], "left").join(wins, ["_id", "_row"], "left")
     schema = T.StructType([joined.schema["_rest"], T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())])
     bound_batches(spark)
 
