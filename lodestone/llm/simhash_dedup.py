@@ -9,8 +9,9 @@ radius of its own distance. The 64 bits are cut into radius+m blocks, two finger
 whole blocks at least, so all sets of m blocks together miss no pair. m grows with the number of fingerprints, so
 shards stay small; every m is exact.
 
-Groups by shingle similarity (``similar_groups``) are a matter of ``similar_sets``: no radius of fingerprints holds
-all pairs of a similarity and no others.
+Groups by shingle similarity (``similar_groups``) are a matter of ``similar_sets``: longer fingerprints, BK-trees in
+shards by shared shingles, and each link verified, for no radius of fingerprints holds all pairs of a similarity and no
+others.
 
 The trees travel by shuffle, not by broadcast, because all of them together
 grow with the corpus. A shard above ``SHARD_LIMIT`` entries is cut into parts and each pair of parts is a tree of
@@ -33,6 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.llm.bk_tree import forest
 from lodestone.llm.common import bound_batches, cut, map_batches, shuffle_width, spread, tidy
 from lodestone.llm.components import components
 from lodestone.llm.similar_sets import similar_sets
@@ -71,65 +73,6 @@ def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
     return map_batches(spread(source), one, "doc_id long, fp long")
 
 
-class BKTree:
-    """A BK-tree of distinct 64-bit fingerprints whose entries can be taken out."""
-
-    def __init__(self, values: list[int]):
-        self.values = values
-        self.children: list[dict[int, int]] = [{} for _ in values]
-        self.parent = [-1] * len(values)
-        self.alive = [True] * len(values)
-        self.below = [1] * len(values)  # entries still in the subtree
-        for i in range(1, len(values)):
-            at, v = 0, values[i]
-            while True:
-                self.below[at] += 1
-                d = (v ^ values[at]).bit_count()
-                child = self.children[at].get(d)
-                if child is None:
-                    self.children[at][d] = i
-                    self.parent[i] = at
-                    break
-                at = child
-
-    def remove(self, i: int) -> None:
-        self.alive[i] = False
-        while i >= 0:
-            self.below[i] -= 1
-            i = self.parent[i]
-
-    def within(self, value: int, radius: int) -> list[int]:
-        """Entries still in the tree at distance ``radius`` or less."""
-        found, stack = [], [0] if self.values and self.below[0] else []
-        values, children, below = self.values, self.children, self.below
-        while stack:
-            at = stack.pop()
-            d = (value ^ values[at]).bit_count()
-            if d <= radius and self.alive[at]:
-                found.append(at)
-            for edge, child in children[at].items():
-                if d - radius <= edge <= d + radius and below[child]:
-                    stack.append(child)
-        return found
-
-
-def forest(values: list[int], radius: int) -> list[tuple[int, int]]:
-    """Links (i, j) that span the groups which links within the radius form among distinct values."""
-    tree, links = BKTree(values), []
-    for root in range(len(values)):
-        if not tree.alive[root]:
-            continue
-        tree.remove(root)
-        todo = [root]
-        while todo:
-            i = todo.pop()
-            for j in tree.within(values[i], radius):
-                tree.remove(j)
-                links.append((root, j))
-                todo.append(j)
-    return links
-
-
 def block_masks(radius: int, count: int) -> list[int]:
     """Masks such that any two fingerprints within the radius agree on one of them."""
     m = 1

@@ -12,9 +12,14 @@ the hash that grow in number with the table, and each range tells how many of a
 two shingles happen to share counts as shared, which keeps a document and loses none.
 
 What stays - copies of any kind - goes through the second order, which puts frequent shingles last (it is measured on
-repeats within batches and changes the work, never the result). Candidates are joined to components first, along each
-prefix shingle in the order of set sizes, as far as sizes allow the threshold. Every true link lies within one such
-component. Its members' texts are then read again and every link is verified on the sets themselves. A component above
+repeats within batches and changes the work, never the result). A prefix shingle names a shard, so similar sets share
+one. Candidates are linked in a shard by SimHash fingerprints of 256 bits, of distinct shingles, in a BK-tree: those
+within ``RADIUS`` bits whose sizes allow the threshold. At similarity 0.8 a bit differs with a chance of 0.19 at most
+(sets of 4 and 5 shingles; 0.152 for large ones), so the chance that a pair lies beyond the radius is computed at 3e-11
+for those and below 1e-15 for large ones. Unrelated documents that happen to share shingles lie within it with a chance
+of 4e-6, so they do not chain into components that grow with the table. Other thresholds get a radius by the same law.
+A search takes what it finds out of its tree, so links span groups; they are joined to components. Members' texts are
+then read again and every link is verified on the sets themselves. A component above
 ``CELL_SHINGLES`` is cut by set sizes and then into parts, each pair of parts is a cell of its own. A verified member
 leaves the search, so links span groups and are never all of their pairs.
 
@@ -33,10 +38,11 @@ import pyarrow as pa
 import xxhash
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import bound_batches, cut, map_batches, tidy
+from lodestone.llm.bk_tree import forest
+from lodestone.llm.common import bound_batches, cut, map_batches, shuffle_width, tidy
 from lodestone.llm.components import components
 
 #: Shingles of a candidate component, or of a part of it, that are searched at once.
@@ -45,6 +51,10 @@ CELL_SHINGLES = 1 << 20
 FREQUENT = 1 << 17
 #: Keys of a range of the hash that one task counts.
 RANGE_KEYS, LEAST_RANGES = 1 << 18, 64
+#: Entries of a BK-tree.
+SHARD_LIMIT = 2048
+#: 64-bit words of a fingerprint, and how many of its bits similar sets may differ in.
+WORDS, RADIUS = 4, 92
 #: Distinct words whose hash a worker remembers.
 REMEMBERED = 200_000
 BASE, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -87,6 +97,18 @@ def set_key(s: np.ndarray) -> tuple[int, int]:
     return int(hi), int(lo)
 
 
+def simhash(s: np.ndarray) -> np.ndarray:
+    """The SimHash of a set, as ``WORDS`` signed numbers: a bit is one where over half of the shingles' hashes have it."""
+    votes = np.zeros(64 * WORDS, np.int64)
+    for at in range(0, len(s), 1 << 14):
+        h = s[at : at + (1 << 14), None] + BASE * np.arange(1, WORDS + 1, dtype=np.uint64)
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB), (31, 1)):
+            h = (h ^ (h >> np.uint64(shift))) * np.uint64(factor)
+        bits = np.unpackbits(h.view(np.uint8), axis=1, bitorder="little")
+        votes += np.add.reduceat(bits, np.arange(0, len(h), 255), axis=0, dtype=np.uint8).sum(axis=0, dtype=np.int64)
+    return np.packbits(votes * 2 > len(s), bitorder="little").view(np.int64)
+
+
 def prefix_length(n: int, similarity: float) -> int:
     """How many of a set's n shingles, in the common order, meet those of every set as similar as that."""
     return n - math.ceil(similarity * n - EPS) + 1 if n else 0
@@ -261,6 +283,81 @@ def sets_of(table: pa.RecordBatch | pa.Table, shingle: int) -> list[tuple[tuple[
     return found
 
 
+def radius(similarity: float) -> int:
+    """The radius for a threshold: as many standard deviations above the expected distance as ``RADIUS`` is for 0.8, all bits at most."""
+    bits = 64 * WORDS
+
+    def expected(t: float) -> float:
+        return math.acos(min(1.0, 2 * t / (1 + t))) / math.pi
+
+    def deviation(p: float) -> float:
+        return math.sqrt(bits * p * (1 - p)) + 1
+
+    reach = (RADIUS - bits * expected(0.8)) / deviation(expected(0.8))
+    return min(bits, math.ceil(bits * expected(similarity) + reach * deviation(expected(similarity)) - EPS))
+
+
+def shard_links(members: DataFrame, radius: int, similarity: float) -> DataFrame:
+    """``members`` (gram, part_a, part_b, id, size, fingerprint), sorted within partitions -> links (a, b) that span the groups of each shard."""
+
+    def links(shard: np.ndarray) -> list[tuple[int, int]]:
+        entries: dict[tuple[int, int], int] = {}
+        out = []
+        data = shard[:, 5:].tobytes()
+        for at, (i, n) in enumerate(shard[:, 3:5].tolist()):
+            first = entries.setdefault((int.from_bytes(data[8 * WORDS * at : 8 * WORDS * (at + 1)], "little"), n), i)
+            if first != i:
+                out.append((i, first))
+        if len(entries) > 1:
+            values, sizes = zip(*entries)
+            ids = list(entries.values())
+            out += [(ids[j], ids[i]) for i, j in forest(list(values), radius, list(sizes), similarity - EPS)]
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []  # the rows of the shard that is not complete yet
+
+        def emit(table: np.ndarray) -> pa.RecordBatch:
+            starts = np.flatnonzero(np.r_[True, (table[1:, :3] != table[:-1, :3]).any(axis=1)])
+            ends = np.r_[starts[1:], len(table)]
+            out: list[tuple[int, int]] = []
+            for s, e in zip(starts[ends - starts > 1], ends[ends - starts > 1]):
+                out += links(table[s:e])
+            ends = np.array(out, np.int64).reshape(-1, 2)
+            return pa.RecordBatch.from_arrays([pa.array(ends[:, 0].copy()), pa.array(ends[:, 1].copy())], names=["a", "b"])
+
+        for batch in batches:
+            table = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns], axis=1).astype(np.int64, copy=False)
+            if not len(table):
+                continue
+            held.append(table)
+            if (table[-1, :3] == held[0][0, :3]).all():
+                continue
+            whole = np.concatenate(held)
+            last = int(np.flatnonzero((whole[:, :3] != whole[-1, :3]).any(axis=1))[-1]) + 1
+            yield emit(whole[:last])
+            held = [whole[last:].copy()]
+        if held:
+            yield emit(np.concatenate(held))
+        tidy()
+
+    return members.mapInArrow(run, "a long, b long")
+
+
+def candidate_links(prints: DataFrame, similarity: float) -> DataFrame:
+    """``prints`` (id, size, fingerprint, prefix) -> links (a, b): in shards by prefix shingle, those that BK-trees find."""
+    fingerprint = [f"f{i}" for i in range(WORDS)]
+    members = prints.select("id", "size", *fingerprint, F.explode("prefix").alias("gram"))
+    # of a shard above the limit each pair of parts is a tree of its own; there are few of them: each has more rows than the limit
+    large = cut(members.groupBy("gram").agg(F.count("*").alias("n")).where(F.col("n") > SHARD_LIMIT).select("gram", F.ceil(F.col("n") / SHARD_LIMIT).cast("int").alias("parts")))
+    own = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
+    sized = members.join(F.broadcast(large), "gram", "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("own", own)
+    cells = sized.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    keys = ["gram", "part_a", "part_b"]
+    cells = cells.select("gram", F.least("own", "other").alias("part_a"), F.greatest("own", "other").alias("part_b"), "id", "size", *fingerprint)
+    return shard_links(cells.repartition(shuffle_width(prints.sparkSession), *keys).sortWithinPartitions(*keys, "id"), radius(similarity), similarity)
+
+
 def verified(texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """``texts`` (id, hi, lo, z) -> links (a, b) that span the groups of similar sets."""
     shared = texts.sparkSession.sparkContext.broadcast(frequent_shingles(texts, shingle))
@@ -275,17 +372,16 @@ def verified(texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
             if len(grams):
                 at = np.minimum(np.searchsorted(grams, s), len(grams) - 1)
                 rank = np.where(grams[at] == s, by_gram[at] + 1, 0)
-            rows.append((*row, len(s)))
+            rows.append((*row, len(s), *simhash(s).tolist()))
             out.append(s[np.argsort(rank, kind="stable")[: prefix_length(len(s), similarity)]])
-        columns = [pa.array(c.copy()) for c in np.array(rows, np.int64).reshape(-1, 4).T]
+        columns = [pa.array(c.copy()) for c in np.array(rows, np.int64).reshape(-1, 4 + WORDS).T]
         offsets = np.cumsum([0, *map(len, out)]).astype(np.int32)
         first = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.uint64), *out]).view(np.int64)))
-        return pa.RecordBatch.from_arrays([*columns, first], names=["id", "hi", "lo", "size", "prefix"])
+        return pa.RecordBatch.from_arrays([*columns, first], names=["id", "hi", "lo", "size", *(f"f{i}" for i in range(WORDS)), "prefix"])
 
-    prints = cut(map_batches(texts, prefixes, "id long, hi long, lo long, size long, prefix array<long>"))
-    run = Window.partitionBy("gram").orderBy("size", "id")
-    chained = prints.select("id", "size", F.explode("prefix").alias("gram")).select("id", "size", F.lag("id").over(run).alias("b"), F.lag("size").over(run).alias("smaller"))
-    candidates = components(chained.where((F.col("b") != F.col("id")) & (F.col("smaller") + EPS >= similarity * F.col("size"))).select(F.col("id").alias("a"), "b"))
+    words = ", ".join(f"f{i} long" for i in range(WORDS))
+    prints = cut(map_batches(texts, prefixes, f"id long, hi long, lo long, size long, {words}, prefix array<long>"))
+    candidates = components(candidate_links(prints, similarity))
 
     members = cut(prints.select("id", "hi", "lo", "size").distinct().join(candidates.select(F.col("node").alias("id"), F.col("component").alias("cell")), "id"))
     large = members.groupBy("cell").agg(F.sum("size").alias("total")).where(F.col("total") > CELL_SHINGLES)
