@@ -27,7 +27,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document (the smallest doc_id) of each near-duplicate group."""
+    """One document (the smallest doc_id) of each near-duplicate group: SimHash, BK-tree per shard, links verified on shingle sets, components."""
     return simhash_dedup.keep_one_each(docs)
 
 

@@ -4,6 +4,7 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 import xxhash
 
@@ -251,6 +252,26 @@ def test_no_pair_at_the_threshold_is_lost(spark):
     assert got == {d: d - d % 2 for d, _ in rows}
 
 
+def test_fingerprints_of_similar_sets_lie_within_the_radius():
+    from lodestone.llm import similar_sets
+
+    rng = np.random.default_rng(31)
+    assert similar_sets.radius(0.8) == similar_sets.RADIUS
+    for common, left, right in [(4, 1, 0), (8, 1, 1), (12, 3, 0), (16, 2, 2), (80, 10, 10), (800, 100, 100), (40_000, 10_000, 0)]:
+        for _ in range(5):
+            grams = rng.integers(0, 1 << 63, common + left + right, dtype=np.uint64)
+            a, b = similar_sets.simhash(np.sort(grams[: common + left])), similar_sets.simhash(np.sort(np.r_[grams[:common], grams[common + left :]]))
+            assert np.bitwise_count(a ^ b).sum() <= similar_sets.RADIUS
+    s = np.sort(rng.integers(0, 1 << 63, 40_000, dtype=np.uint64))
+    h = s.astype(object)
+    for word in range(similar_sets.WORDS):
+        v = [(int(x) + 0x9E3779B97F4A7C15 * (word + 1)) % (1 << 64) for x in h[:999]]
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB), (31, 1)):
+            v = [(x ^ (x >> shift)) * factor % (1 << 64) for x in v]
+        want = sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in v) > len(v))
+        assert int(similar_sets.simhash(s[:999])[word]) % (1 << 64) == want
+
+
 @pytest.mark.parametrize("limit", [2048, 3])
 def test_shared_shingles_of_unlike_documents_make_no_candidates(spark, monkeypatch, limit):
     """Documents that happen to share some shingles must not chain into one component, which grows faster than the table."""
