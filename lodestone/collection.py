@@ -116,15 +116,30 @@ class Cursor:
         return document_rows(project(df, self.spec, c.root(df))) if self.spec else df if not c.documents else df.select("_id", "data")
 
     def to_array(self) -> list[dict[str, Any]]:
+        """The documents as a list on the driver; ``map`` takes results of any size."""
         return list(self)
 
-    def __iter__(self) -> Iterator[dict[str, Any]]:
+    def _source(self) -> tuple[DataFrame, Callable[[T.Row], dict[str, Any]]]:
+        """The rows that are read, and what makes a document of one."""
         if not self.collection.documents:
-            yield from (plain(r) for r in self.frame().toLocalIterator())
-            return
-        for row in self._rows().select("_id", "data").toLocalIterator():
+            return self.frame(), plain
+        spec = self.spec
+
+        def document(row: T.Row) -> dict[str, Any]:
             doc = read_text(row["_id"], row["data"])
-            yield project_document(doc, self.spec) if self.spec else doc
+            return project_document(doc, spec) if spec else doc
+
+        return self._rows().select("_id", "data"), document
+
+    def __iter__(self) -> Iterator[dict[str, Any]]:
+        df, document = self._source()
+        yield from (document(r) for r in df.toLocalIterator())
+
+    def map(self, function: Callable[[dict[str, Any]], tuple], schema: str) -> DataFrame:
+        """What a function makes of each document, as rows of a schema. The executors read the documents; none goes to the driver."""
+        df, document = self._source()
+        made = F.udf(lambda row: function(document(row)), T.StructType.fromDDL(schema), useArrow=False).asNondeterministic()  # called once a row
+        return df.select(made(F.struct(*(F.col(f"`{c}`") for c in df.columns))).alias("made")).select("made.*")
 
     def next(self) -> dict[str, Any] | None:
         if not hasattr(self, "_iterator"):

@@ -3,8 +3,10 @@ import json
 import re
 
 import pytest
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from __spark_entry__ import queries
 from lodestone.collection import Collection, Database, discover
 from lodestone.sources.documents import export_json, read_text, validate
 from lodestone.sources import store
@@ -311,3 +313,35 @@ def test_pipelines_change_documents(spark, tmp_path):
     assert out.columns == ["_id", "data"] and json.loads(out.first()["data"]) == {"name": "Ada", "tags": ["a", "b"], "home": {"rooms": [1, None]}}
     assert c.find({"_id": "1"}).project({"tags": 0, "_id": 0}).frame().columns == ["data"]
     assert c.aggregate([{"$project": {"age": 0}}, {"$match": {"age": 30}}]).count() == 0
+
+
+@pytest.fixture
+def dated_orders(spark, tmp_path):
+    days = [dt.datetime(1996, 1, 2), dt.datetime(2000, 2, 29), None]
+    found = [(i, "FOP"[i % 3], 100000.0 * i, days[i % 3]) for i in range(7)]
+    schema = "o_orderkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp"
+    spark.createDataFrame(found, schema).write.parquet(str(tmp_path / "orders.parquet"))
+    return str(tmp_path), found
+
+
+@pytest.fixture
+def nothing_fetched(monkeypatch):
+    def refuse(*_):
+        raise AssertionError("rows go to the driver")
+
+    return lambda: [monkeypatch.setattr(DataFrame, name, refuse) for name in ("toLocalIterator", "collect", "toPandas", "toArrow")], monkeypatch.undo
+
+
+def test_map_gives_the_documents_of_iteration(spark, people):
+    typed = Collection(spark, "typed", people.frame().select("_id", F.length("data").alias("n"), F.array(F.struct(F.lit(1).alias("x"))).alias("items")))
+    for cursor in (lambda: people.find(), lambda: people.find({"age": {"$gt": 30}}).project({"name": 1}), lambda: people.find().sort({"age": -1}).skip(1).limit(1), lambda: typed.find().sort({"n": 1})):
+        assert [r["d"] for r in cursor().map(lambda d: (repr(d),), "d string").collect()] == [repr(d) for d in cursor().to_array()]
+
+
+def test_restored_dates_are_read_on_the_executors(spark, dated_orders, nothing_fetched):
+    folder, found = dated_orders
+    refuse, allow = nothing_fetched
+    refuse()
+    out = queries()["restored_dates"](spark, folder)
+    allow()
+    assert sorted(map(tuple, out.collect())) == [(k, d and str(d.date()), d and d.year) for k, _, _, d in found]
