@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 
 from lodestone.functions.values import Doc, iso
 from lodestone.operators.filters import Root, compile_filter
-from lodestone.operators.ordering import SortSpec, sort_columns
+from lodestone.operators.ordering import SortSpec, sorted_rows
 from lodestone.operators.pipeline import aggregate
 from lodestone.operators.projection import project
 from lodestone.operators.updates import apply_update, check, update_frame
@@ -105,7 +105,7 @@ class Cursor:
         c = self.collection
         df = c.matching(self.query, self.eq_mode)
         if self.order:
-            df = df.orderBy(*sort_columns(self.order, c.root(df), "first"))
+            df = sorted_rows(df, self.order, c.root(df), "first")
         if self.offset:
             df = df.offset(self.offset)
         return df if self.most is None else df.limit(self.most)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lodestone.functions.values import Doc
 from lodestone.operators.filters import Root
 from lodestone.sources.folders import scratch
 
@@ -22,16 +23,30 @@ def pairs(spec: SortSpec) -> list[tuple[str, int]]:
     return items
 
 
+def directed(c: Column, direction: int, nulls: str) -> Column:
+    """``nulls='first'``: missing values are smallest (cursors); ``'last'``: largest (pipelines)."""
+    if nulls == "first":
+        return c.asc_nulls_first() if direction > 0 else c.desc_nulls_last()
+    return c.asc_nulls_last() if direction > 0 else c.desc_nulls_first()
+
+
 def sort_columns(spec: SortSpec, root: Root, nulls: str) -> list[Column]:
-    """Order expressions. ``nulls='first'``: missing values are smallest (cursors); ``'last'``: largest (pipelines)."""
-    out = []
+    """Order expressions of a sort specification."""
+    return [directed(c, direction, nulls) for key, direction in pairs(spec) for c in root.value(key).sort_keys()]
+
+
+def sorted_rows(df: DataFrame, spec: SortSpec, root: Root, nulls: str) -> DataFrame:
+    """The rows in an order. A sort computes its expressions in every comparison, so keys that are no plain fields are computed before it, once a row."""
+    made: dict[str, Column] = {}
+    order = []
     for key, direction in pairs(spec):
-        for c in root.value(key).sort_keys():
-            if nulls == "first":
-                out.append(c.asc_nulls_first() if direction > 0 else c.desc_nulls_last())
-            else:
-                out.append(c.asc_nulls_last() if direction > 0 else c.desc_nulls_first())
-    return out
+        value = root.value(key)
+        for c in value.sort_keys():
+            if isinstance(value, Doc) or isinstance(value.dtype, (T.StructType, T.MapType)):
+                name = f"__s{len(made)}"
+                made[name], c = c, F.col(name)
+            order.append(directed(c, direction, nulls))
+    return df.withColumns(made).orderBy(*order).drop(*made) if made else df.orderBy(*order)
 
 
 def encodable(dtype: T.DataType, direction: int) -> bool:

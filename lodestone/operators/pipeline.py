@@ -17,7 +17,7 @@ from pyspark.sql.window import Window
 from lodestone.functions.paths import parse
 from lodestone.functions.values import Doc, Value, as_variant, literal_of, type_of, with_field
 from lodestone.operators.filters import Root, compile_filter
-from lodestone.operators.ordering import SortSpec, as_constant, encoded, sort_columns
+from lodestone.operators.ordering import SortSpec, as_constant, directed, encoded, pairs, sorted_rows
 from lodestone.operators.projection import project
 
 ARRIVAL = "__arrival"
@@ -86,8 +86,8 @@ def add_fields(state: State, arg: dict[str, Any]) -> State:
 
 
 def sort(state: State, arg: SortSpec) -> State:
-    order = list(arg.items()) if isinstance(arg, dict) else list(arg)
-    return replace(state, df=state.df.orderBy(*sort_columns(order, state.root(), "last")), order=order)
+    order = pairs(arg)
+    return replace(state, df=sorted_rows(state.df, order, state.root(), "last"), order=order)
 
 
 def count(state: State, arg: Any) -> State:
@@ -181,6 +181,24 @@ def accumulate(state: State, op: str, arg: Any, order: Column | None) -> Column:
     return (F.min_by if op == "$first" else F.max_by)(F.struct(item.alias("v")), order)["v"]
 
 
+def narrowed(state: State, keys: dict[str, Column], accumulators: list[tuple[str, str, Any]], tie: list[Column]) -> tuple[DataFrame, list[tuple[str, str, Any]]]:
+    """Rows with their number in their group (``__line``), reduced to the keys and to what the accumulators take: whole documents are not shuffled and sorted."""
+    inputs: dict[str, Column] = {}
+    taken = []
+    for name, op, arg in accumulators:
+        column = f"__v{len(inputs)}"
+        if isinstance(arg, Column) or not as_constant(arg):
+            inputs[column] = column_of(state, arg)
+            arg = F.col(column) if isinstance(arg, Column) else f"${column}"
+        taken.append((name, op, arg))
+    root = state.root()
+    order = [(c, direction) for key, direction in pairs(state.order) for c in root.value(key).sort_keys()]
+    sorted_by = {f"__s{i}": c for i, (c, _) in enumerate(order)}
+    df = state.df.select(*(c.alias(name) for name, c in {**keys, **sorted_by, **inputs}.items()), *tie)
+    line = Window.partitionBy(*keys).orderBy(*(directed(F.col(name), direction, "last") for name, (_, direction) in zip(sorted_by, order)), *tie)
+    return df.withColumn("__line", F.row_number().over(line)).drop(*sorted_by), taken
+
+
 def group(state: State, arg: dict[str, Any]) -> State:
     if "_id" not in arg:
         raise ValueError("$group needs an _id")
@@ -205,9 +223,8 @@ def group(state: State, arg: dict[str, Any]) -> State:
         if fields is not None:
             order = F.struct(*(c.alias(f"o{i}") for i, c in enumerate([*fields, *tie]))) if fields or tie else None
         if order is None:
-            line = Window.partitionBy(*keys.values()).orderBy(*sort_columns(state.order, state.root(), "last"), *tie)
-            df = df.withColumn("__line", F.row_number().over(line))
-            order = F.col("__line")
+            df, accumulators = narrowed(state, keys, accumulators, tie)
+            state, keys, order = replace(state, document=None), {k: F.col(k) for k in keys}, F.col("__line")
     inner = replace(state, df=df)
     grouped = df.groupBy(*(c.alias(k) for k, c in keys.items())).agg(*[accumulate(inner, op, v, order).alias(name) for name, op, v in accumulators] or [F.count(F.lit(1)).alias("__n")])
     if compound:
@@ -251,6 +268,11 @@ def needs_arrival(stages: list[tuple[str, Any]]) -> bool:
     return any(name == "$group" and any(op in ORDERED for k, spec in arg.items() if k != "_id" and isinstance(spec, dict) for op in spec) for name, arg in stages)
 
 
+def order_unused(later: list[tuple[str, Any]]) -> bool:
+    """Whether rows need not lie in order: stages of single rows come next, then one that orders its groups itself or counts."""
+    return next((name for name, _ in later if name in ("$limit", "$skip", "$group", "$count")), None) in ("$group", "$count")
+
+
 def aggregate(df: DataFrame, pipeline: list[dict[str, Any]], order_by: str | None = None, document: str | None = None, strict: bool = True, expressions: bool = False) -> DataFrame:
     """Run a pipeline over a frame. ``order_by`` names the column that stands for arrival order.
 
@@ -260,6 +282,9 @@ def aggregate(df: DataFrame, pipeline: list[dict[str, Any]], order_by: str | Non
     if needs_arrival(stages):
         df = df.withColumn(ARRIVAL, F.col(order_by) if order_by else F.monotonically_increasing_id())
     state = State(df, document, [], strict, expressions)
-    for name, arg in stages:
-        state = STAGES[name](state, arg)
+    for i, (name, arg) in enumerate(stages):
+        if name == "$sort" and order_unused(stages[i + 1 :]):
+            state = replace(state, order=pairs(arg))
+        else:
+            state = STAGES[name](state, arg)
     return state.df.drop(ARRIVAL) if ARRIVAL in state.df.columns else state.df

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.collection import distinct_values
+from lodestone.collection import Collection, distinct_values
 from lodestone.operators.pipeline import aggregate
 from lodestone.operators.projection import project
 
@@ -101,3 +101,58 @@ def test_projection(spark):
 def test_distinct(people):
     assert {r["value"] for r in distinct_values(people, "tags").collect()} == {"admin", "user", "mod"}
     assert distinct_values(people, "absent").count() == 0
+
+
+def optimised(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.fixture(scope="module")
+def orders(spark):
+    c = Collection(spark, "orders", documents=True)
+    docs = [{"_id": str(i), "customer": i % 3, "price": [i % 5, "text", None, i / 2][i % 4], "status": [f"s{i}", None, i, {"x": i}][i % 4], "note": "long " * 20} for i in range(40)]
+    for d in docs[::7]:
+        del d["price"], d["status"]
+    c.insert_many(docs)
+    return c, docs
+
+
+def test_grouped_documents_are_not_sorted_as_a_whole(orders):
+    c, docs = orders
+    group = {"_id": "$customer", "list": {"$push": "$status"}, "one": {"$push": 1}, "first": {"$first": "$status"}, "last": {"$last": "$_id"}, "sum": {"$sum": "$price"}, "n": {"$sum": 1}, "low": {"$min": "$price"}}
+    out = c.aggregate([{"$sort": {"price": -1, "_id": 1}}, {"$match": {"note": {"$exists": True}}}, {"$group": group}])
+    assert "Sort [" not in optimised(out)
+    node = out._jdf.queryExecution().optimizedPlan()
+    while node.nodeName() != "Window":
+        node = node.children().head()
+    shuffled = node.children().head().output()  # what the window's groups are made of
+    assert not {"doc", "data", "data_valid"} & {shuffled.apply(i).name() for i in range(shuffled.size())}
+
+    def key(d):  # numbers, then texts; missing ones and nulls first in descending order
+        p = d.get("price")
+        return (0, 0) if p is None else (1, 0) if isinstance(p, str) else (2, -p)
+
+    got = {r["_id"]: r for r in out.collect()}
+    assert set(got) == {"0", "1", "2"}
+    for k, r in got.items():
+        mine = sorted((d for d in docs if str(d["customer"]) == k), key=lambda d: (key(d), d["_id"]))
+        prices = [d["price"] for d in mine if isinstance(d.get("price"), (int, float))]
+        assert [v and v.toPython() for v in r["list"]] == [d.get("status") for d in mine]
+        assert [v is None for v in r["list"]] == ["status" not in d for d in mine]  # an explicit null is no missing field
+        assert list(r["one"]) == [1] * len(mine) and r["n"] == len(mine) and r["sum"] == sum(prices)
+        assert r["last"] == mine[-1]["_id"] and (r["first"] and r["first"].toPython()) == mine[0].get("status") and float(r["low"]) == min(prices)
+
+
+def test_sorts_of_documents_compare_columns(orders):
+    c, docs = orders
+    ranked = [d["_id"] for d in sorted((d for d in docs if isinstance(d.get("price"), (int, float))), key=lambda d: (-d["price"], d["_id"]))]
+    wanted = {"price": {"$type": "number"}}
+    cursor = c.find(wanted).sort({"price": -1, "_id": 1})
+    staged = c.aggregate([{"$match": wanted}, {"$sort": {"price": -1, "_id": 1}}, {"$addFields": {"k": 1}}])
+    for plan in (cursor.to_sql(), optimised(staged)):
+        sorts = [line for line in plan.split("\n") if "Sort [" in line]
+        assert len(sorts) == 1 and "variant" not in sorts[0]
+    assert [d["_id"] for d in cursor] == [r["_id"] for r in staged.collect()] == ranked
+    assert [d["_id"] for d in c.find(wanted).sort({"price": -1, "_id": 1}).skip(2).limit(3)] == ranked[2:5]
+    limited = c.aggregate([{"$match": wanted}, {"$sort": {"price": -1, "_id": 1}}, {"$limit": 4}, {"$group": {"_id": None, "ids": {"$push": "$_id"}}}]).first()
+    assert list(limited["ids"]) == ranked[:4]
