@@ -3,7 +3,6 @@ import json
 import re
 
 import pytest
-from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from __spark_entry__ import queries
@@ -325,11 +324,12 @@ def dated_orders(spark, tmp_path):
 
 
 @pytest.fixture
-def nothing_fetched(monkeypatch):
+def nothing_fetched(spark, monkeypatch):
     def refuse(*_):
         raise AssertionError("rows go to the driver")
 
-    return lambda: [monkeypatch.setattr(DataFrame, name, refuse) for name in ("toLocalIterator", "collect", "toPandas", "toArrow")], monkeypatch.undo
+    kind = type(spark.range(1))  # the class behind DataFrame
+    return lambda: [monkeypatch.setattr(kind, name, refuse) for name in ("toLocalIterator", "collect", "toPandas", "toArrow")], monkeypatch.undo
 
 
 def test_map_gives_the_documents_of_iteration(spark, people):
